@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import substrings
+from palimpsest.llm import exact, mixing, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_source_mixing": mixing.op3,
         "op4_substring_dedup": substrings.op4,
+        "op10_exact_dedup": exact.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_source_mixing": mixing.OP3_SQL,
+        "op10_exact_dedup": exact.OP10_SQL,
+    }
