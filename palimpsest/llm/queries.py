@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mixing, substrings
+from palimpsest.llm import exact, mixing, pieces, secrets, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": pieces.op2,
         "op3_source_mixing": mixing.op3,
         "op4_substring_dedup": substrings.op4,
+        "op7_secret_scan": secrets.op7,
+        "op9_exact_topk": topk.op9,
         "op10_exact_dedup": exact.op10,
     }
 
@@ -20,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_source_mixing": mixing.OP3_SQL,
+        "op9_exact_topk": topk.OP9_SQL,
         "op10_exact_dedup": exact.OP10_SQL,
     }
