@@ -1,6 +1,6 @@
 """Blocks of documents, and questions that blocks ask of the whole corpus.
 
-A block is about two megabytes of consecutive documents, packed and compressed, with an id of its own. An operator that
+A block is about a megabyte of consecutive documents, packed and compressed, with an id of its own. An operator that
 needs facts about the whole corpus for each word or passage of a document works in rounds: every block sends its
 *distinct* keys, packed as arrays, to buckets chosen by the key (``ask``); a bucket sees all blocks that hold a key and
 answers each of them (``answer``); block and answers meet again by block id (``resolve``).
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import durable, partitions
 
 #: Bytes of text in a block, unless a single document has more.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_SCHEMA = "block string, blob binary, n_bytes long"
 
 

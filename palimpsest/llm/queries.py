@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mixing, pieces, secrets, substrings, topk
+from palimpsest.llm import exact, mixing, pieces, pii, quality, secrets, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1,
         "op2_sentencepiece": pieces.op2,
         "op3_source_mixing": mixing.op3,
         "op4_substring_dedup": substrings.op4,
+        "op6_pii": pii.op6,
         "op7_secret_scan": secrets.op7,
         "op9_exact_topk": topk.op9,
         "op10_exact_dedup": exact.op10,
