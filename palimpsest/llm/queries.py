@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mixing, pieces, pii, quality, secrets, substrings, topk
+from palimpsest.llm import exact, mixing, near, pieces, pii, quality, secrets, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": substrings.op4,
         "op6_pii": pii.op6,
         "op7_secret_scan": secrets.op7,
+        "op8_near_dedup": near.op8,
         "op9_exact_topk": topk.op9,
         "op10_exact_dedup": exact.op10,
     }
