@@ -53,6 +53,18 @@ class Pieces:
         get = self.ids.__getitem__
         return [list(chain.from_iterable(map(get, chunks))) for chunks in chunked]
 
+    def segment_words(self, words: Sequence[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct words, each given with the one space in front of it that stands for its marker."""
+        new = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(new) > TABLE:
+            self.ids.clear()
+            new = words
+        self._segment([w for w in new if MARK not in w])
+        for w in new:
+            if MARK in w:  # a marker that stands in the text itself, and so is a chunk's border
+                self.ids[w] = tuple(self.model.encode(w[1:]))
+        return [self.ids[w] for w in words]
+
     def _segment(self, chunks: list[str]) -> None:
         """Put new chunks into the table. Many go to the library as one text, which is cheaper than one by one."""
         words = [c for c in chunks if c[-1] != " "]

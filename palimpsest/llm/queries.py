@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mixing, near, pieces, pii, quality, secrets, substrings, topk
+from palimpsest.llm import exact, mixing, near, pieces, pii, quality, scoring, secrets, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": pieces.op2,
         "op3_source_mixing": mixing.op3,
         "op4_substring_dedup": substrings.op4,
+        "op5_lm_scoring": scoring.op5,
         "op6_pii": pii.op6,
         "op7_secret_scan": secrets.op7,
         "op8_near_dedup": near.op8,

@@ -12,6 +12,8 @@ import pyarrow as pa
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of text hashed at a time.
+PIECE = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -33,13 +35,18 @@ class Words:
         self.n = np.diff(self.first)
 
     def hashes(self, seed: int) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word, computed piece by piece to keep the tables of powers small."""
         values, base, inverse = _family(seed)
-        n = len(self.data)
-        power, unpower = _powers(base, n), _powers(inverse, n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[self.data] * power, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * unpower[self.starts])
+        out = np.empty(len(self.starts), np.uint64)
+        cuts = np.append(np.flatnonzero(np.diff(self.starts // PIECE, prepend=-1)), len(self.starts))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            begin, end = int(self.starts[lo]), int(self.ends[hi - 1])
+            power, unpower = _powers(base, end - begin), _powers(inverse, end - begin)
+            total = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(values[self.data[begin:end]] * power, out=total[1:])
+            starts = self.starts[lo:hi] - begin
+            out[lo:hi] = mix((total[self.ends[lo:hi] - begin] - total[starts]) * unpower[starts])
+        return out
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
