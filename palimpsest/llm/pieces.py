@@ -127,26 +127,29 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     return encoded.selectExpr("CAST(doc_id AS long) AS doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """Encode and decode in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, for what both give."""
+def round_trip(docs: DataFrame, model_file: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for.
+
+    Edge cases are those of ``encode`` and ``decode``.
+    """
     model_file = model_file or public_tokenizers.path(MODEL)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [str(i) for i in range(loaded(model_file).model.get_piece_size())]
+        numbers = [str(i) for i in range(loaded(model_file).model.get_piece_size())]
         for batch in _small(batches):
             ids = loaded(model_file).encode([x or "" for x in batch["text"].to_pylist()])
             texts = loaded(model_file).decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [
+                batch["doc_id"],
+                pa.array(map(len, ids), pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(numbers.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _of(docs).mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
 def _of(docs: DataFrame) -> DataFrame:
