@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import durable
+from palimpsest.llm.shared import durable, durable_and_size
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -17,19 +17,26 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = labels.select(F.col("id").alias("_id"), F.col("comp").alias("_comp"))
     ends = links.join(of, F.col("a") == F.col("_id")).select(F.col("_comp").alias("x"), "b")
     ends = ends.join(of, F.col("b") == F.col("_id")).select("x", F.col("_comp").alias("y"))
-    ends = durable(ends.filter("x <> y").distinct())
-    while not ends.isEmpty():
+    ends, n = durable_and_size(ends.filter("x <> y").distinct())
+    if not n:
+        return labels
+    while n:
         both = ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        rank = F.struct(F.xxhash64("y").alias("p"), F.col("y").alias("c"))
-        hooks = both.groupBy("x").agg(F.min(rank).alias("best"))
-        lower = F.struct(F.xxhash64("x").alias("p"), F.col("x").alias("c"))
-        parents = durable(hooks.select("x", F.when(F.col("best") < lower, F.col("best.c")).otherwise(F.col("x")).alias("to")))
-        for _ in range(2):
-            onward = parents.select(F.col("x").alias("_x"), F.col("to").alias("_to"))
-            parents = durable(parents.join(onward, F.col("to") == F.col("_x"), "left").select("x", F.coalesce("_to", "to").alias("to")))
-        labels = durable(labels.join(parents, labels["comp"] == parents["x"], "left").select("id", F.coalesce("to", "comp").alias("comp")))
-        left = parents.select(F.col("x").alias("_x"), F.col("to").alias("_to"))
-        ends = ends.join(left, F.col("x") == F.col("_x"), "left").select(F.coalesce("_to", "x").alias("x"), "y")
-        ends = ends.join(left, F.col("y") == F.col("_x"), "left").select("x", F.coalesce("_to", "y").alias("y"))
-        ends = durable(ends.filter("x <> y").distinct())
-    return labels
+        hooks = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("p"), F.col("y").alias("c"))).alias("best"))
+        own = F.struct(F.xxhash64("x").alias("p"), F.col("x").alias("c"))
+        parents = durable(_twice(_twice(hooks.select("x", F.when(F.col("best") < own, F.col("best.c")).otherwise(F.col("x")).alias("to")))))
+        labels = _mapped(labels, "comp", parents)
+        ends, n = durable_and_size(_mapped(_mapped(ends, "x", parents), "y", parents).filter("x <> y").distinct())
+    return durable(labels)
+
+
+def _twice(pointers: DataFrame) -> DataFrame:
+    """Pointers followed once more from where they lead."""
+    return _mapped(pointers, "to", pointers)
+
+
+def _mapped(rows: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
+    """Rows with a column's values replaced by where they point, if they do."""
+    onward = pointers.select(F.col("x").alias("_x"), F.col("to").alias("_to"))
+    joined = rows.join(onward, F.col(column) == F.col("_x"), "left")
+    return joined.select(*(F.coalesce("_to", c).alias(c) if c == column else F.col(c) for c in rows.columns))

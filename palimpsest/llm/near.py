@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import contract
 from palimpsest.llm.rolling import Words, mix, windows
-from palimpsest.llm.shared import durable, map_tables, partitions
+from palimpsest.llm.shared import durable, durable_and_size, map_tables, partitions
 
 SHINGLE = 5
 SIMILARITY = 75
@@ -33,6 +33,8 @@ COMPONENTS = 64
 #: Neighbours on each side in a tree, and rows of a block when a region is searched whole.
 NEIGHBOURS = 8
 BLOCK = 1024
+#: Pairs of each text that are confirmed before components are first known.
+STRONGEST = 2
 #: Pairs whose signatures agree on fewer of the 64 components than this are not looked at again in large regions: a pair at
 #: the threshold does with a chance of 2 in a million.
 LEAST_AGREED = 32
@@ -97,22 +99,21 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SH
     sketched = durable(map_tables(docs, sketch, "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
     with_set = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = durable(with_set.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    pairs = durable(_neighbouring(classes, neighbours))
-    labels = durable(classes.select("id", F.col("id").alias("comp")).distinct())
-    if not pairs.isEmpty():
-        # A text can only be in two classes if its id repeats; the class's own set is found by its fingerprint.
-        texts = _texts(docs, pairs)
-        labels = _confirmed(pairs, labels, texts, shingle, similarity)
-        more = durable(_large_regions(classes, labels, neighbours).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            texts = _texts(docs, more.unionByName(pairs.select(*more.columns)))
-            labels = _confirmed(more, labels, texts, shingle, similarity)
+    pairs, n_pairs = durable_and_size(_neighbouring(classes, neighbours))
+    labels = classes.select("id", F.col("id").alias("comp")).distinct()
+    if n_pairs:
+        labels = _confirmed(pairs, durable(labels), _texts(docs, pairs), shingle, similarity)
+        more, n_more = durable_and_size(_large_regions(classes, labels, neighbours).join(pairs, ["a", "b"], "left_anti"))
+        if n_more:
+            labels = _confirmed(more, labels, _texts(docs, more), shingle, similarity)
     # Copies follow their class; ids that repeat tie their classes together.
     member = with_set.join(classes.select("f1", "f2", "n_shingles", F.col("id").alias("class")), ["f1", "f2", "n_shingles"]).select("doc_id", "class")
-    comps = member.join(labels, member["class"] == labels["id"]).select("doc_id", "comp")
-    split = comps.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("a", "b")
-    labels = contract(labels, durable(split))
-    comps = durable(member.join(labels, member["class"] == labels["id"]).select("doc_id", "comp").distinct())
+    comps = durable(member.join(labels, member["class"] == labels["id"]).select("doc_id", "comp"))
+    split, n_split = durable_and_size(comps.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.collect_set("comp").alias("all")).filter("a <> b").select("a", F.explode("all").alias("b")))
+    if n_split:
+        labels = contract(labels, split)
+        comps = member.join(labels, member["class"] == labels["id"]).select("doc_id", "comp")
+    comps = comps.distinct()
     names = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comps.join(names, "comp").select(F.col("doc_id").alias("_id"), "component_id")
     out = sketched.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("_id"), "left")
@@ -192,8 +193,8 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(map_tables(found, squeeze, "id long, blob binary"))
 
 
-def _confirmed(pairs: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Labels after all pairs between different components have been confirmed or refuted."""
+def _links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Those pairs ``a, b`` whose full sets are similar enough."""
 
     def confirm(rows: pa.Table) -> pa.Table:
         press = zstandard.ZstdDecompressor()
@@ -202,27 +203,22 @@ def _confirmed(pairs: DataFrame, labels: DataFrame, texts: DataFrame, shingle: i
         good = [linked(x, y, similarity) for x, y in zip(left, right, strict=True)]
         return rows.select(["a", "b"]).filter(pa.array(good))
 
-    picks, open_pairs = 1, pairs
-    while True:
-        of = labels.select(F.col("id").alias("_id"), "comp")
-        across = open_pairs.join(of, F.col("a") == F.col("_id")).select("a", "b", "trees", F.col("comp").alias("ca"))
-        across = across.join(of, F.col("b") == F.col("_id")).filter(F.col("comp") != F.col("ca"))
-        open_pairs = durable(across.select("a", "b", "trees"))
-        if open_pairs.isEmpty():
-            return labels
-        # The strongest few of each text; equals in an order by hash, so that no text is everybody's choice.
-        order = [F.desc("trees"), F.xxhash64("a", "b"), F.col("a"), F.col("b")]
-        chosen = durable(
-            open_pairs.withColumn("ra", F.row_number().over(W.partitionBy("a").orderBy(*order)))
-            .withColumn("rb", F.row_number().over(W.partitionBy("b").orderBy(*order)))
-            .filter((F.col("ra") <= picks) | (F.col("rb") <= picks))
-            .select("a", "b")
-        )
-        sent = chosen.join(texts.select(F.col("id").alias("a"), F.col("blob").alias("blob_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("blob").alias("blob_b")), "b")
-        links = durable(map_tables(sent, confirm, "a long, b long"))
-        labels = contract(labels, links)
-        open_pairs = open_pairs.join(chosen, ["a", "b"], "left_anti")
-        picks *= 8
+    left, right = texts.select(F.col("id").alias("a"), F.col("blob").alias("blob_a")), texts.select(F.col("id").alias("b"), F.col("blob").alias("blob_b"))
+    return durable(map_tables(pairs.join(left, "a").join(right, "b"), confirm, "a long, b long"))
+
+
+def _confirmed(pairs: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Labels after all pairs between different components have been confirmed or refuted."""
+    # First the strongest few of each text, equals in an order by hash, so that no text is everybody's choice.
+    order = [F.desc("trees"), F.xxhash64("a", "b"), F.col("a"), F.col("b")]
+    ranked = pairs.withColumn("ra", F.row_number().over(W.partitionBy("a").orderBy(*order))).withColumn("rb", F.row_number().over(W.partitionBy("b").orderBy(*order)))
+    ranked = durable(ranked.withColumn("first", (F.col("ra") <= STRONGEST) | (F.col("rb") <= STRONGEST)).select("a", "b", "first"))
+    labels = contract(labels, _links(ranked.filter("first").select("a", "b"), texts, shingle, similarity))
+    # Then all that are left between different components.
+    of = labels.select(F.col("id").alias("_id"), "comp")
+    across = ranked.filter("NOT first").join(of, F.col("a") == F.col("_id")).select("a", "b", F.col("comp").alias("ca"))
+    across, n = durable_and_size(across.join(of, F.col("b") == F.col("_id")).filter(F.col("comp") != F.col("ca")).select("a", "b"))
+    return contract(labels, _links(across, texts, shingle, similarity)) if n else labels
 
 
 def _large_regions(classes: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -47,6 +47,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_and_size(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, and how many rows there are, counted on the way."""
+    seen = Observation()
+    df = durable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return df, int(seen.get["n"])
+
+
 def map_tables(df: DataFrame, function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """Apply a function of Arrow tables to each batch of each partition."""
 
