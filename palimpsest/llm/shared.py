@@ -54,13 +54,13 @@ def durable_and_size(df: DataFrame) -> tuple[DataFrame, int]:
     return df, int(seen.get["n"])
 
 
-def map_tables(df: DataFrame, function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """Apply a function of Arrow tables to each batch of each partition."""
+def map_tables(df: DataFrame, function: Callable[[pa.Table], pa.Table | None], schema: str, rows: int = 512) -> DataFrame:
+    """Apply a function of Arrow tables to each partition, so many rows at a time, which bounds what a worker holds."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = function(pa.Table.from_batches([batch]))
+            for start in range(0, batch.num_rows, rows):
+                out = function(pa.Table.from_batches([batch.slice(start, rows)]))
                 if out is not None and out.num_rows:
                     yield from out.to_batches()
 

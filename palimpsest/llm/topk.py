@@ -52,7 +52,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCAL
         near = far.argmin(1)
         return rows.append_column("pivot", pa.array(near, pa.int32())).append_column("away", pa.array(np.linalg.norm(v - pivots[near], axis=1)))
 
-    placed = durable(map_tables(data, place, "vec_id long, v array<long>, pivot int, away double"))
+    placed = durable(map_tables(data, place, "vec_id long, v array<long>, pivot int, away double", CELL))
     summary = {r.pivot: (r.n, r.radius) for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}  # a row a pivot
     cells = {p: -(-n // CELL) for p, (n, _) in summary.items()}
     n_cells = F.create_map(*(F.lit(x) for item in cells.items() for x in item))
