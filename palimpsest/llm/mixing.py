@@ -55,10 +55,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     ranked = running_totals(sources, [F.col("source").isNull(), F.col("source")], {"rank": F.lit(1).cast("long")})
     turn = F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     caps = durable(ranked.select("source", "source_size", turn.alias("weight"), (F.col("source_size") * epochs).alias("cap"), "rank"))
-    whole = caps.agg((F.sum("source_size") * F.lit(share)).alias("all_words"), F.sum("weight").alias("all_weights"))
+    whole = caps.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()  # two numbers
+    words, weights_left = F.lit(float(whole.words or 0) * share) - F.col("caps_before"), F.lit(whole.weights or 0) - F.col("weights_before")
     filled = running_totals(caps, [F.col("cap") / F.col("weight"), F.col("rank")], {"caps_before": F.col("cap"), "weights_before": F.col("weight")})
-    level = filled.crossJoin(whole).agg(F.max((F.col("all_words") - F.col("caps_before")) / (F.col("all_weights") - F.col("weights_before"))).alias("level"))
-    return caps.crossJoin(level).select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    level = filled.agg(F.max(words / weights_left).alias("level")).first().level or 0.0  # one number
+    return caps.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
