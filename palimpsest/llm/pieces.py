@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -38,9 +39,9 @@ class Pieces:
         self.marker = self.model.piece_to_id(MARK)
         self.ids: dict[str, tuple[int, ...]] = {}
         self.texts: dict[tuple[int, ...], str] = {}
-        #: Ids of pieces that begin with a marker, and of those that are nothing but markers.
-        self.opens = {i for i, p in enumerate(pieces) if p.startswith(MARK)}
-        self.blank = {i for i, p in enumerate(pieces) if not p.strip(MARK)}
+        #: Which pieces begin with a marker, and which are nothing but markers.
+        self.opens = np.array([p.startswith(MARK) for p in pieces])
+        self.blank = np.array([not p.strip(MARK) for p in pieces])
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         """Ids of each text, without begin or end."""
@@ -72,9 +73,8 @@ class Pieces:
             part = words[start : start + 512]
             # The library puts a marker before what it is given, so the text goes without its first one.
             ids = self.model.encode("".join(part)[1:])
-            edge = [0]
-            edge += [k for k in range(1, len(ids)) if ids[k] in self.opens and ids[k - 1] not in self.blank]
-            edge.append(len(ids))
+            at = np.array(ids)
+            edge = [0, *(np.flatnonzero(self.opens[at[1:]] & ~self.blank[at[:-1]]) + 1).tolist(), len(ids)]
             for chunk, lo, hi in zip(part, edge[:-1], edge[1:], strict=True):
                 self.ids[chunk] = tuple(ids[lo:hi])
         for chunk in chunks:
