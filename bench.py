@@ -33,10 +33,11 @@ def updates(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 
     history, evolving = tables.history(spark, sf_dir).persist(), tables.evolving(spark, sf_dir).persist()
     total = history.count()
+    evolving.count()
+    out = {"full": run(sm.model(history, evolving, SESSIONS, total))}  # before anything of it is kept
     state = inc.SessionState.build(history, evolving, SESSIONS, total).persisted()
     for df in (evolving, state.pairs, state.index, state.idf, state.result):
         df.count()
-    out = {"full": run(sm.model(history, evolving, SESSIONS, total))}
     for n in (1, 10, 100):
         gone = C.deletions(history.orderBy("session_id", "item_id", "ord").limit(n)).persist()
         began = time.perf_counter()
