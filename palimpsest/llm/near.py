@@ -35,6 +35,8 @@ NEIGHBOURS = 8
 BLOCK = 1024
 #: Pairs of each text that are confirmed before components are first known.
 STRONGEST = 2
+#: Pairs that a class gives of each block of a large region before all.
+LIKELIEST = 4
 #: Pairs whose signatures agree on fewer of the 64 components than this are not looked at again in large regions: a pair at
 #: the threshold does with a chance of 2 in a million.
 LEAST_AGREED = 32
@@ -103,9 +105,14 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SH
     labels = classes.select("id", F.col("id").alias("comp")).distinct()
     if n_pairs:
         labels = _confirmed(pairs, durable(labels), _texts(docs, pairs), shingle, similarity)
-        more, n_more = durable_and_size(_large_regions(classes, labels, neighbours).join(pairs, ["a", "b"], "left_anti"))
-        if n_more:
-            labels = _confirmed(more, labels, _texts(docs, more), shingle, similarity)
+        crowded, n_crowded = durable_and_size(_crowded(classes, neighbours))
+        known = pairs.select("a", "b")
+        # The likeliest first: most of what is left joins a component by these, and asks no more.
+        for most in (LIKELIEST, None) if n_crowded else ():
+            more, n_more = durable_and_size(_large_regions(crowded, classes, labels, most).join(known, ["a", "b"], "left_anti"))
+            if n_more:
+                labels = _confirmed(more, labels, _texts(docs, more), shingle, similarity)
+                known = known.unionByName(more.select("a", "b"))
     # Copies follow their class; ids that repeat tie their classes together.
     member = with_set.join(classes.select("f1", "f2", "n_shingles", F.col("id").alias("class")), ["f1", "f2", "n_shingles"]).select("doc_id", "class")
     comps = durable(member.join(labels, member["class"] == labels["id"]).select("doc_id", "comp"))
@@ -221,29 +228,42 @@ def _confirmed(pairs: DataFrame, labels: DataFrame, texts: DataFrame, shingle: i
     return contract(labels, _links(across, texts, shingle, similarity)) if n else labels
 
 
-def _large_regions(classes: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:
-    """``a, b, trees``: pairs of different components in regions that neighbours don't cover, if their signatures agree enough."""
-    region = F.xxhash64("tree", F.substring("key", 1, 4 * DEPTH)).alias("region")
-    rows = _forest(classes).select(region, "id")
+def _crowded(classes: DataFrame, neighbours: int) -> DataFrame:
+    """``tree, region, id, count``: classes in regions that neighbours don't cover."""
+    rows = _forest(classes).select("tree", F.xxhash64("tree", F.substring("key", 1, 4 * DEPTH)).alias("region"), "id")
     large = rows.groupBy("region").count().filter(F.col("count") > neighbours + 1)
+    return rows.join(large, "region").select("tree", "region", "id", "count")
+
+
+def _large_regions(crowded: DataFrame, classes: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
+    """``a, b, trees``: pairs of different components in crowded regions, if their signatures agree enough.
+
+    A pair is given by the first tree that has it in a region: in an earlier one it is either of one component or has been
+    neighbours. ``most`` is how many each asking class gives of a block, the most alike first; None for all.
+    """
     known = classes.select("id", "sig").join(labels, "id").withColumnRenamed("id", "_id")
-    rows = durable(rows.join(large, "region").select("region", "id", "count"))
-    rows = rows.join(known, F.col("id") == F.col("_id")).select("region", "id", "comp", "sig", "count")
+    rows = crowded.join(known, F.col("id") == F.col("_id")).select("tree", "region", "id", "comp", "sig", "count")
     shares = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = durable(shares.groupBy("region").agg(F.max(F.struct("n", F.col("comp").alias("main"))).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("region", "top.main"))
     rows = durable(rows.join(mixed, "region"))
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = rows.select("region", F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "comp", "sig")
-    asking = rows.filter("comp <> main").select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"), "id", "comp", "sig")
+    dealt = rows.select("region", F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int").alias("part"), F.lit(False).alias("asks"), "tree", "id", "comp", "sig")
+    asking = rows.filter("comp <> main").select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"), "tree", "id", "comp", "sig")
 
     def search(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy(zero_copy_only=False)
         signs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, COMPONENTS)
-        ids, comps = group["id"].to_numpy(), group["comp"].to_numpy()
+        ids, comps, tree = group["id"].to_numpy(), group["comp"].to_numpy(), group["tree"][0].as_py()
         out_a, out_b = [ids[:0]], [ids[:0]]
         rest, rest_ids, rest_comps = signs[~asks], ids[~asks], comps[~asks]
         for at in np.flatnonzero(asks):
-            good = ((rest == signs[at]).sum(1) >= LEAST_AGREED) & (rest_comps != comps[at])
+            same = rest == signs[at]
+            agreed = same.sum(1)
+            good = np.flatnonzero((agreed >= LEAST_AGREED) & (rest_comps != comps[at]))
+            earlier = same[good][:, : DEPTH * tree].reshape(len(good), tree, DEPTH).all(2).any(1) if tree else np.zeros(len(good), bool)
+            good = good[~earlier]
+            if most is not None and len(good) > most:
+                good = good[np.argsort(-agreed[good], kind="stable")[:most]]
             out_a.append(np.minimum(ids[at], rest_ids[good]))
             out_b.append(np.maximum(ids[at], rest_ids[good]))
         return pa.table([np.concatenate(out_a), np.concatenate(out_b)], names=["a", "b"])
