@@ -141,6 +141,19 @@ def test_language_model_beats_counts_on_held_out_texts(spark):
     assert r.s > r.b
 
 
+def test_training_windows_hold_every_id_once():
+    lengths = np.array([1, 31, 32, 33, 5000, 64, 3])
+    stream = np.arange(100, 100 + lengths.sum()).astype(np.int32)
+    first = np.cumsum(lengths) - lengths
+    rows = scoring._windows(stream, first, lengths)
+    wanted = rows[:, 1:][rows[:, 1:] >= 0]
+    assert wanted.tolist() == stream.tolist()
+    before = rows[:, :-1][rows[:, 1:] >= 0]
+    assert np.where(np.isin(wanted - 100, first), before == scoring.BEGIN, before == wanted - 1).all()
+    none = np.zeros(0, np.int64)
+    assert len(scoring._windows(none.astype(np.int32), none, none)) == 0
+
+
 def test_attention_gradients_and_windows():
     made = np.random.default_rng(0)
     counts = made.integers(0, 100, 2000)
