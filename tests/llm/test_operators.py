@@ -189,6 +189,47 @@ def test_attention_gradients_and_windows():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_attention_predicts_ids_by_context():
+    made = np.random.default_rng(1)
+    counts = made.integers(0, 100, 300)
+    vocabulary = attention.Vocabulary.of(counts, made.integers(0, 5, (300, 64)))
+    p = attention.start(vocabulary, counts)
+    # Two ids of one class, each of which always follows an id of its own that shares a class with the other's.
+    c = np.bincount(vocabulary.classes).argmax()
+    a, b, x, y = np.flatnonzero(vocabulary.classes == c)[:4]
+    rows = np.array([[1, *[a, x, b, y] * 8], [1, *[b, y, a, x] * 8]] * 8, np.int16)
+    real = np.ones((16, 32), bool)
+    real[0, 7:] = False
+    p = attention.train(p, rows, real, vocabulary, 60, 0.05, 0, batch=8)
+    assert len(p["e"]) == 300
+
+    def of(ids):
+        return attention.log10_probabilities(p, np.array(ids, np.int32), np.array([len(ids)]), 1, vocabulary)[-1]
+
+    assert of([a, x]) > of([a, y]) + 0.3 and of([b, y]) > of([b, x]) + 0.3
+    assert sum(10 ** of([a, i]) for i in range(300)) == pytest.approx(1, abs=1e-4)
+    double = {k: v.astype(float) for k, v in p.items()}
+    rows = made.integers(0, 300, (4, 33))
+    inputs, classes = vocabulary.entry[rows[:, :-1]], vocabulary.classes[rows[:, 1:]]
+
+    def loss(q):
+        logp, kept = attention.forward(q, inputs)
+        out = np.take_along_axis(logp, classes[..., None], -1)[..., 0]
+        scores = kept[-1] @ q["u"].T + q["d"] + vocabulary.prior
+        scores = np.where(np.repeat(np.arange(64), np.diff(vocabulary.bounds)) == classes[..., None], scores, -np.inf)
+        out += np.take_along_axis(scores, vocabulary.place[rows[:, 1:]][..., None], -1)[..., 0] - np.log(np.exp(scores).sum(-1))
+        return -(out * real[:4]).sum() / real[:4].sum()
+
+    g = attention.gradients(double, inputs, classes, real[:4], rows[:, 1:], vocabulary)
+    for name in double:
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        step = {k: v.copy() for k, v in double.items()}
+        step[name][at] += 1e-4
+        up = loss(step)
+        step[name][at] -= 2e-4
+        assert (up - loss(step)) / 2e-4 == pytest.approx(g[name][at], rel=1e-3)
+
+
 def test_secrets(spark, rows, docs, empty):
     texts = {
         200: "token=abcdefghijkl x PASSWORD: 'Abc.def-123456' secret = short",
