@@ -7,6 +7,9 @@ are aggregated before the shuffle and joined back by hash, and adaptive executio
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +80,9 @@ def _prefix_columns() -> tuple[Column, Column]:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, as ``copies`` chooses; all columns stay."""
-    marked = durable(copies(docs).select("doc_id", "n_chars", "prefix_hash", "kept"))
+    marked = durable(copies(docs).select("doc_id", "n_chars", "prefix_hash", "text_sha256", "kept"))
     key = ["doc_id", "n_chars", "prefix_hash"]
-    # A row is known by its id and text; rows that repeat both are taken care of apart, if there are any.
+    # Rows are found by id, length and beginning; where these don't tell which stays, by their whole text as well.
     by_key = marked.groupBy(*key).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     gone = by_key.filter("NOT stays").select(*key)
     again = by_key.filter("stays AND n > 1").select(*key)
@@ -89,13 +92,18 @@ def without_copies(docs: DataFrame) -> DataFrame:
         {mine["doc_id"]: F.col("doc_id").cast("long"), mine["n_chars"]: F.length(text).cast("long"), mine["prefix_hash"]: F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX)))}
     )
 
-    def on(other: DataFrame) -> Column:
-        same = [wide[mine[c]].eqNullSafe(other[c]) for c in key]
-        return same[0] & same[1] & same[2]
+    def on(other: DataFrame, names: dict[str, str] = mine) -> Column:
+        same = [F.col(m).eqNullSafe(other[c]) for c, m in names.items()]
+        return reduce(and_, same)
 
     left = wide.join(gone, on(gone), "left_anti")
     if not again.isEmpty():
-        left = left.join(again, on(again), "left_anti").unionByName(wide.join(again, on(again), "left_semi").dropDuplicates(list(mine.values())))
+        whole = "_exact_text_sha256"
+        asked = wide.join(again, on(again), "left_semi").withColumn(whole, F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256))
+        # Rows whose length and beginning recur all have a digest; of those that repeat an id and a text, one stays.
+        stay = marked.filter("kept").select(*key, "text_sha256").distinct()
+        found = asked.join(stay, on(stay, mine | {"text_sha256": whole}), "left_semi").dropDuplicates([*mine.values(), whole])
+        left = left.join(again, on(again), "left_anti").unionByName(found.drop(whole))
     return left.select(*docs.columns)
 
 

@@ -73,6 +73,22 @@ def test_exact_copies(spark, rows, docs, empty):
     assert exact.copies(empty).count() == 0 and exact.without_copies(empty).count() == 0
 
 
+def test_texts_that_differ_after_their_beginning_stay(spark):
+    head = "the same words begin every text of this template " * 8
+    rows = [(None, head + "aa"), (None, head + "bb"), (None, head + "BB"), (7, head + "cc"), (7, head + "dd"), (7, head + "DD"), (9, head + "dd"), (None, head + "cc"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, text_sha256 int").repartition(3)
+    for part in (docs, docs.filter("doc_id IS NULL"), docs.filter("doc_id = 7")):
+        given = [(r.doc_id, r.text) for r in part.collect()]
+        want = {}
+        for i, t in given:
+            n = (t or "").translate(brute.LOWER)
+            want[n] = max(want.get(n, -1), -1 if i is None else i)
+        got = exact.without_copies(part)
+        assert got.columns == docs.columns
+        kept = [((r.text or "").translate(brute.LOWER), -1 if r.doc_id is None else r.doc_id) for r in got.collect()]
+        assert Counter(kept) == Counter(want.items())
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
