@@ -45,6 +45,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Which users are queries: a tenth or a fiftieth, as the SQL of the queries says, or all in those named ..._all.
+TENTH, FIFTIETH, ALL = "user_id % 10 = 0", "user_id % 50 = 0", "user_id IS NOT NULL"
+
+
+def for_all(name: str, of: str) -> None:
+    """Registers the query ``of`` again, as ``name``, with all users as queries: function and SQL differ in nothing else."""
+    SQL[name] = SQL[of].replace(TENTH, ALL).replace(FIFTIETH, ALL)
+    QUERIES[name] = lambda spark, d: QUERIES[of](spark, d, ALL)
+
+
 def six(name: str):
     """Six digits, a little off the half, so that two ways to round agree."""
     return F.round(F.col(name) + 3e-10, 6).alias(name)
@@ -244,8 +254,8 @@ def _(spark, d):
 # Baskets
 
 
-def _queries(baskets: DataFrame) -> DataFrame:
-    return baskets.select("user_id").distinct().filter("user_id % 10 = 0")
+def _queries(baskets: DataFrame, users: str = TENTH) -> DataFrame:
+    return baskets.select("user_id").distinct().filter(users)
 
 
 _VALUES = "SELECT user_id, item_id, round(value + 3e-10, 6) AS value FROM"
@@ -266,16 +276,16 @@ def _(spark, d):
 
 
 @query("tifu_neighbors_exact", f"WITH {S.tifu()}, {S.nearest(SHOP.k)} SELECT user_id, other_id, jaccard FROM nn")
-def _(spark, d):
+def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
     sets = baskets.select("user_id", F.explode("items").alias("item_id")).distinct()
-    return bm.neighbours(bm.overlaps(sets, _queries(baskets)), SHOP.k)
+    return bm.neighbours(bm.overlaps(sets, _queries(baskets, users)), SHOP.k)
 
 
 @query("tifu_recommend", f"WITH {S.tifu()}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
-def _(spark, d):
+def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
-    return _vector(bm.recommend(baskets, _queries(baskets), SHOP))
+    return _vector(bm.recommend(baskets, _queries(baskets, users), SHOP))
 
 
 _DELETED = """left_over AS (SELECT * FROM all_baskets WHERE NOT (user_id % 5 = 0 AND basket_no = 2)),
@@ -283,11 +293,11 @@ b AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY basket_no
 
 
 @query("tifu_delete_baskets", f"WITH {S.tifu(_DELETED)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
-def _(spark, d):
+def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
     after = C.delete_baskets(baskets, baskets.filter("user_id % 5 = 0 AND basket_no = 2"))
-    old = bm.recommend(baskets, _queries(baskets), SHOP)
-    return _vector(inc.update_baskets(baskets, after, _queries(baskets), old, SHOP).result)
+    old = bm.recommend(baskets, _queries(baskets, users), SHOP)
+    return _vector(inc.update_baskets(baskets, after, _queries(baskets, users), old, SHOP).result)
 
 
 _ADDED = """ends AS (SELECT user_id, max(basket_no) AS last FROM all_baskets GROUP BY user_id),
@@ -295,11 +305,11 @@ b AS (SELECT user_id, basket_no, item_id FROM all_baskets UNION ALL SELECT a.use
 
 
 @query("tifu_add_baskets", f"WITH {S.tifu(_ADDED)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
-def _(spark, d):
+def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
     after = C.add_baskets(baskets, baskets.filter("user_id % 7 = 0 AND basket_no = 1"))
-    old = bm.recommend(baskets, _queries(baskets), SHOP)
-    return _vector(inc.update_baskets(baskets, after, _queries(baskets), old, SHOP).result)
+    old = bm.recommend(baskets, _queries(baskets, users), SHOP)
+    return _vector(inc.update_baskets(baskets, after, _queries(baskets, users), old, SHOP).result)
 
 
 _LSH = f"{S.tifu()}, {S.signatures(SHOP.permutations, SHOP.seed)}, {S.bands(N_BANDS, BAND_ROWS)}"
@@ -323,21 +333,21 @@ def _(spark, d):
 
 
 @query("lsh_candidates", f"WITH {_LSH}, {_CANDIDATES} SELECT user_id, other_id FROM cand")
-def _(spark, d):
+def _(spark, d, users=TENTH):
     sets = _sets(spark, d)
-    return bm.lsh_candidates(sets, _queries(sets), SHOP.permutations, N_BANDS, BAND_ROWS, SHOP.seed)
+    return bm.lsh_candidates(sets, _queries(sets, users), SHOP.permutations, N_BANDS, BAND_ROWS, SHOP.seed)
 
 
 @query(
     "tifu_recommend_lsh",
     f"WITH {_LSH}, {_CANDIDATES}, {S.nearest(SHOP.k, candidates='JOIN cand c ON c.user_id = t.user_id AND c.other_id = t.other_id')}, {S.merged(SHOP.alpha)} {_VALUES} rec",
 )
-def _(spark, d):
+def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
     vectors = bm.user_vectors(baskets, SHOP)
     sets = vectors.select("user_id", "item_id")
-    found = bm.lsh_candidates(sets, _queries(sets), SHOP.permutations, N_BANDS, BAND_ROWS, SHOP.seed)
-    return _vector(bm.merged(vectors, bm.neighbours(bm.overlaps(sets, _queries(sets), found), SHOP.k), SHOP.alpha))
+    found = bm.lsh_candidates(sets, _queries(sets, users), SHOP.permutations, N_BANDS, BAND_ROWS, SHOP.seed)
+    return _vector(bm.merged(vectors, bm.neighbours(bm.overlaps(sets, _queries(sets, users), found), SHOP.k), SHOP.alpha))
 
 
 # Changes
@@ -365,12 +375,12 @@ def _(spark, d):
 # Metrics, on each user's last basket
 
 
-def _evaluated(spark, d) -> tuple[DataFrame, DataFrame]:
+def _evaluated(spark, d, users: str = TENTH) -> tuple[DataFrame, DataFrame]:
     baskets = tables.baskets(spark, d)
     numbered = baskets.withColumn("last", F.max("basket_no").over(W.partitionBy("user_id")))
     past = numbered.filter("basket_no < last").drop("last")
     truth = numbered.filter("basket_no = last").select("user_id", F.explode("items").alias("item_id")).distinct()
-    return bm.top_items(bm.recommend(past, _queries(past), SHOP), 20), truth
+    return bm.top_items(bm.recommend(past, _queries(past, users), SHOP), 20), truth
 
 
 _EVAL = f"""{S.tifu(S.split_baskets())}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)},
@@ -387,19 +397,19 @@ m AS (
 
 
 @query("metrics_ndcg", f"WITH {_EVAL} SELECT user_id, round(ndcg + 3e-10, 6) AS ndcg FROM m")
-def _(spark, d):
-    return mm.ndcg(*_evaluated(spark, d), 10).select("user_id", six("ndcg"))
+def _(spark, d, users=TENTH):
+    return mm.ndcg(*_evaluated(spark, d, users), 10).select("user_id", six("ndcg"))
 
 
 @query("metrics_prf", f"WITH {_EVAL}, pr AS (SELECT *, n_hit::DOUBLE / n_shown AS p, n_hit::DOUBLE / n_true AS r FROM m) SELECT user_id, n_hit AS n_correct, p AS precision, r AS recall, round(CASE WHEN n_hit > 0 THEN 2 * p * r / (p + r) ELSE 0 END + 3e-10, 6) AS f1 FROM pr")
-def _(spark, d):
-    rows = mm.precision_recall(*_evaluated(spark, d), 10)
+def _(spark, d, users=TENTH):
+    rows = mm.precision_recall(*_evaluated(spark, d, users), 10)
     return rows.select("user_id", F.col("n_correct").cast("bigint").alias("n_correct"), "precision", "recall", six("f1"))
 
 
 @query("metrics_hit", f"WITH {_EVAL} SELECT user_id, (n_hit > 0)::INT AS hit FROM m")
-def _(spark, d):
-    return mm.hit(*_evaluated(spark, d), 10)
+def _(spark, d, users=TENTH):
+    return mm.hit(*_evaluated(spark, d, users), 10)
 
 
 @query(
@@ -408,8 +418,8 @@ def _(spark, d):
     SELECT round(avg(p) + 3e-10, 6) AS precision, round(avg(r) + 3e-10, 6) AS recall, round(avg(CASE WHEN n_hit > 0 THEN 2 * p * r / (p + r) ELSE 0 END) + 3e-10, 6) AS f1, round(avg(ndcg) + 3e-10, 6) AS ndcg,
     round(count(*) FILTER (n_hit > 0)::DOUBLE / (SELECT count(*) FROM pu) + 3e-10, 6) AS hit_ratio FROM pr""",
 )
-def _(spark, d):
-    rows = mm.summary(*_evaluated(spark, d), 10)
+def _(spark, d, users=TENTH):
+    rows = mm.summary(*_evaluated(spark, d, users), 10)
     return rows.select(*(six(c) for c in rows.columns))
 
 
@@ -530,18 +540,18 @@ en AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY user_id ORDER
 
 
 @query("base_tifu_knn_euclid", f"WITH {_EUCLID} SELECT user_id, other_id, round(distance, 5) AS distance FROM en")
-def _(spark, d):
+def _(spark, d, users=FIFTIETH):
     vectors = rb.grouped_history(tables.baskets(spark, d), 7, 0.9, 0.7)
-    return rb.euclidean_neighbours(vectors.filter("user_id % 50 = 0"), vectors, 15).select("user_id", "other_id", F.round("distance", 5).alias("distance"))
+    return rb.euclidean_neighbours(vectors.filter(users), vectors, 15).select("user_id", "other_id", F.round("distance", 5).alias("distance"))
 
 
 @query(
     "base_tifu_merge",
     f"WITH {_EUCLID} {_VALUES} (SELECT user_id, item_id, sum(value) AS value FROM (SELECT user_id, item_id, 0.7 * value AS value FROM q UNION ALL SELECT n.user_id, g.item_id, (1 - 0.7) * g.value / 15 FROM en n JOIN gh g ON g.user_id = n.other_id) GROUP BY user_id, item_id)",
 )
-def _(spark, d):
+def _(spark, d, users=FIFTIETH):
     vectors = rb.grouped_history(tables.baskets(spark, d), 7, 0.9, 0.7)
-    queries = vectors.filter("user_id % 50 = 0")
+    queries = vectors.filter(users)
     return _vector(rb.merge_history(queries, vectors, rb.euclidean_neighbours(queries, vectors, 15), 0.7))
 
 
@@ -561,19 +571,19 @@ def _past_and_future(spark, d):
     SELECT user_id, item_id, 0.6 * 0.7 * value AS value FROM q UNION ALL SELECT n.user_id, g.item_id, 0.6 * (1 - 0.7) * g.value / 15 FROM en n JOIN gh g ON g.user_id = n.other_id
     UNION ALL SELECT n.user_id, f.item_id, (1 - 0.6) * 1.0 / 15 FROM en n JOIN fut f ON f.user_id = n.other_id) GROUP BY user_id, item_id)""",
 )
-def _(spark, d):
+def _(spark, d, users=FIFTIETH):
     past, future = _past_and_future(spark, d)
     vectors = rb.grouped_history(past, 7, 0.9, 0.7)
-    queries = vectors.filter("user_id % 50 = 0")
+    queries = vectors.filter(users)
     near = rb.euclidean_neighbours(queries, vectors, 15)
     return _vector(rb.merge_history_and_future(queries, vectors, near, future, 0.7, 0.6))
 
 
 @query("base_neighbor_frequency", f"""WITH {_EUCLID.replace("b AS (SELECT * FROM all_baskets)", _FUTURE)} SELECT n.user_id, f.item_id, count(*)::DOUBLE AS value FROM en n JOIN fut f ON f.user_id = n.other_id GROUP BY n.user_id, f.item_id""")
-def _(spark, d):
+def _(spark, d, users=FIFTIETH):
     past, future = _past_and_future(spark, d)
     vectors = rb.grouped_history(past, 7, 0.9, 0.7)
-    return rb.most_frequent(rb.euclidean_neighbours(vectors.filter("user_id % 50 = 0"), vectors, 15), future)
+    return rb.most_frequent(rb.euclidean_neighbours(vectors.filter(users), vectors, 15), future)
 
 
 @query("base_softmax", f"WITH {S.tifu()}, x AS (SELECT *, exp(value - max(value) OVER (PARTITION BY user_id)) AS e FROM uv) SELECT user_id, item_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS value FROM x")
@@ -635,3 +645,13 @@ def _(spark, d):
 @query("prep_first_interactions", f"WITH {S.BASKETS} SELECT user_id, item_id FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY item_id) <= 30")
 def _(spark, d):
     return readers.first_interactions(tables.interactions(spark, d), 30, "item_id")
+
+
+# The same with all users as queries
+
+for _name in (
+    "tifu_neighbors_exact", "tifu_recommend", "tifu_delete_baskets", "tifu_add_baskets", "lsh_candidates", "tifu_recommend_lsh",
+    "metrics_ndcg", "metrics_prf", "metrics_hit", "metrics_summary",
+    "base_tifu_knn_euclid", "base_tifu_merge", "base_tifu_merge_future", "base_neighbor_frequency",
+):
+    for_all(f"{_name}_all", _name)

@@ -4,6 +4,7 @@ import pytest
 from compare import duck_rows, rows
 
 from palimpsest.plans.queries import QUERIES, SQL
+from palimpsest.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +24,9 @@ def test_entry_points(spark):
     assert entry.entry(spark).columns == ["session_id", "recommended"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["tifu_neighbors_exact_all", "metrics_hit_all", "base_tifu_knn_euclid_all"])
+def test_all_users_are_queries(spark, name):
+    users = {r.user_id for r in tables.baskets(spark, SF).groupBy("user_id").count().filter("count > 1").select("user_id").collect()}
+    assert users <= {r.user_id for r in QUERIES[name](spark, SF).select("user_id").distinct().collect()}
