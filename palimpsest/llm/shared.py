@@ -67,5 +67,18 @@ def map_tables(df: DataFrame, function: Callable[[pa.Table], pa.Table | None], s
     return df.mapInArrow(run, schema)
 
 
+#: Ids that a broadcast may hold: some tens of megabytes.
+FEW = 1 << 19
+
+
+def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is in ``wanted``, which has each id once.
+
+    Counted first: if they are few the ids go to where the texts are, else both meet by id.
+    """
+    wanted, n = durable_and_size(wanted)
+    return docs.join(F.broadcast(wanted) if n <= FEW else wanted, "doc_id", "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,13 +8,14 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from compare import duck_rows
 from compare import rows as sorted_rows
 from pyspark.sql import functions as F
 
-from palimpsest.llm import attention, exact, mixing, near, pieces, pii, quality, queries, scoring, secrets, substrings, topk
+from palimpsest.llm import attention, components, exact, mixing, near, pieces, pii, quality, queries, scoring, secrets, substrings, topk
 
 SF = "/root/testdata/sf0.001"
 
@@ -375,3 +376,94 @@ def test_posteriors(spark):
         odds = math.log(x / (1 - x)) + math.log(path / (1 - path)) - math.log(rate / (1 - rate))
         assert got[i].score == pytest.approx(1 / (1 + math.exp(-odds)))
     assert got[400].host_posterior == pytest.approx(rate)  # a host of its own shrinks all the way
+
+
+def test_components(spark):
+    made = random.Random(9)
+    links = [(made.randrange(400), made.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(50)]
+    more = [(3, 1000), (2049, 5000), (5000, 5001)]
+
+    def plain(links):
+        parent = {}
+
+        def root(i):
+            while parent.setdefault(i, i) != i:
+                i = parent[i]
+            return i
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        groups = {}
+        for i in parent:
+            groups.setdefault(root(i), set()).add(i)
+        return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+    def groups(labels):
+        out = {}
+        for r in labels.collect():
+            assert r.id != r.comp
+            out.setdefault(r.comp, {r.comp}).add(r.id)
+        return {frozenset(g) for g in out.values()}
+
+    for most in (components.IN_ONE_TASK, 0):  # the end in one task, and rounds all the way
+        frame = lambda x: spark.createDataFrame(x, "a long, b long").repartition(3)
+        labels = components.contract(None, frame(links), most)
+        assert groups(labels) == plain(links)
+        assert groups(components.contract(labels, frame(more), most)) == plain(links + more)
+        assert components.contract(None, frame([(1, 1)]), most) is None
+
+
+def test_crowded_regions_lose_no_link():
+    made = np.random.default_rng(6)
+    base = made.integers(0, 2**62, 150, dtype=np.uint64)
+    sets = []
+    for i in range(300):  # copies edited so far that most are similar by half to three quarters
+        one = base.copy()
+        at = made.permutation(150)[: made.integers(0, 60)]
+        one[at] = made.integers(0, 2**62, len(at), dtype=np.uint64)
+        sets.append(np.unique(one[: made.integers(90, 151)]))
+    comps = np.arange(300)
+    a, b = near.meetings(np.array([False] * 300 + [True] * 300), np.tile(comps, 2), np.tile(comps, 2), sets * 2, 75)
+    parent = list(range(300))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    assert len(a) < 300 and all(near.linked(sets[x], sets[y]) for x, y in zip(a, b, strict=True))
+    for x, y in zip(a, b, strict=True):
+        parent[root(x)] = root(y)
+    for x in range(300):
+        for y in range(x):
+            if near.linked(sets[x], sets[y]):
+                assert root(x) == root(y)
+
+
+def test_a_large_group_of_edited_copies(spark):
+    made = random.Random(8)
+    word = lambda: "".join(made.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(2000):  # each edit takes up to five shingles
+        text = list(base)
+        for _ in range(made.randrange(14)):
+            text[made.randrange(150)] = word()
+        rows.append((i, " ".join(text)))
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sets = near.shingle_sets(pa.chunked_array([[t for _, t in rows]]))
+    every = np.unique(np.concatenate(sets))
+    held = np.zeros((2000, len(every)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, np.searchsorted(every, x)] = 1
+    both = np.rint(held @ held.T)
+    n = np.diag(both)
+    linked = 100 * both >= 75 * (n[:, None] + n[None] - both)
+    least = np.arange(2000)
+    while True:
+        new = np.where(linked, least[None], 2000).min(1)
+        if (new == least).all():
+            break
+        least = new
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(least.tolist()))
+    assert 20 < len(set(least.tolist())) < 1800
