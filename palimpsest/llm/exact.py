@@ -7,13 +7,10 @@ are aggregated before the shuffle and joined back by hash, and adaptive executio
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import ascii_lower, durable
+from palimpsest.llm.shared import ascii_lower, durable, numbered, without
 
 #: Characters that the second level looks at.
 PREFIX = 256
@@ -21,19 +18,22 @@ PREFIX = 256
 BITS = 1 << 25
 
 
-def copies(docs: DataFrame, all_digests: bool = False) -> DataFrame:
+def copies(docs: DataFrame, all_digests: bool = False, row: str | None = None) -> DataFrame:
     """Every row with its group of equal texts: ``doc_id, row, n_chars, prefix_hash, text_sha256, keep_id, group_size, kept``.
 
     Texts are equal when identical after lower-casing A-Z; a null text equals an empty one. The row with the largest
     doc_id of a group is kept; a null id is smaller than any; among rows that repeat that id exactly one is kept. ``row``
-    tells repeated rows apart within this result. ``text_sha256`` is null where refinement never read the whole text,
-    unless ``all_digests``. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    tells repeated rows apart: it is the column so named by the argument, else a number of this result's own.
+    ``text_sha256`` is null where refinement never read the whole text, unless ``all_digests``. Texts of any length are
+    compared whole. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), text.alias("text"))
     n_chars, prefix_hash = _prefix_columns()
-    lengths = docs.groupBy(n_chars).count().filter("count > 1").select("n_chars")
-    begins = docs.select(n_chars, prefix_hash).join(lengths, "n_chars", "left_semi").groupBy("n_chars", "prefix_hash").count().filter("count > 1")
+    counted = docs.select(n_chars, prefix_hash).groupBy("n_chars", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))
+    lengths = counted.groupBy("n_chars").agg(F.sum("n").alias("n")).filter("n > 1").select("n_chars")
+    begins = counted.join(lengths, "n_chars", "left_semi").filter("n > 1")
     slot = F.pmod(F.xxhash64("n_chars", "prefix_hash"), F.lit(BITS))
     bitmap = (
         begins.select(slot.alias("slot"))
@@ -44,7 +44,7 @@ def copies(docs: DataFrame, all_digests: bool = False) -> DataFrame:
     byte = F.conv(F.hex(F.substring("bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     alive = F.coalesce(F.getbit(byte.cast("long"), (position % 8).cast("int")) == 1, F.lit(False))
     rows = (
-        docs.select("doc_id", "text", n_chars, prefix_hash)
+        docs.select("doc_id", "row", "text", n_chars, prefix_hash)
         .withColumn("slot", slot)
         .withColumn("page", F.bitmap_bucket_number("slot"))
         .join(F.broadcast(bitmap), "page", "left")  # at most BITS / 8 bytes
@@ -53,7 +53,7 @@ def copies(docs: DataFrame, all_digests: bool = False) -> DataFrame:
     whole = F.sha2(F.encode(ascii_lower(F.col("text")), "UTF-8"), 256)
     rows = durable(
         rows.select(
-            "doc_id", F.monotonically_increasing_id().alias("row"), "n_chars", "prefix_hash", "alive",
+            "doc_id", "row", "n_chars", "prefix_hash", "alive",
             (whole if all_digests else F.when(F.col("alive"), whole)).alias("text_sha256"),
         )
     )
@@ -79,32 +79,13 @@ def _prefix_columns() -> tuple[Column, Column]:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, as ``copies`` chooses; all columns stay."""
-    marked = durable(copies(docs).select("doc_id", "n_chars", "prefix_hash", "text_sha256", "kept"))
-    key = ["doc_id", "n_chars", "prefix_hash"]
-    # Rows are found by id, length and beginning; where these don't tell which stays, by their whole text as well.
-    by_key = marked.groupBy(*key).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    gone = by_key.filter("NOT stays").select(*key)
-    again = by_key.filter("stays AND n > 1").select(*key)
-    mine = {c: f"_exact_{c}" for c in key}
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    wide = docs.withColumns(
-        {mine["doc_id"]: F.col("doc_id").cast("long"), mine["n_chars"]: F.length(text).cast("long"), mine["prefix_hash"]: F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX)))}
-    )
+    """``docs`` with one row of each group of equal texts, as ``copies`` chooses; all columns stay, whatever their names.
 
-    def on(other: DataFrame, names: dict[str, str] = mine) -> Column:
-        same = [F.col(m).eqNullSafe(other[c]) for c, m in names.items()]
-        return reduce(and_, same)
-
-    left = wide.join(gone, on(gone), "left_anti")
-    if not again.isEmpty():
-        whole = "_exact_text_sha256"
-        asked = wide.join(again, on(again), "left_semi").withColumn(whole, F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256))
-        # Rows whose length and beginning recur all have a digest; of those that repeat an id and a text, one stays.
-        stay = marked.filter("kept").select(*key, "text_sha256").distinct()
-        found = asked.join(stay, on(stay, mine | {"text_sha256": whole}), "left_semi").dropDuplicates([*mine.values(), whole])
-        left = left.join(again, on(again), "left_anti").unionByName(found.drop(whole))
-    return left.select(*docs.columns)
+    Rows are told apart by where they stand, so null and repeated ids make no difference to what is a copy.
+    """
+    rows, row = numbered(docs)
+    gone = copies(rows, row=row).filter("NOT kept").select(F.col("row").alias(row))
+    return without(rows, row, gone).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

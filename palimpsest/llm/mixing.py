@@ -62,8 +62,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return caps.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """How often the mix takes each document: ``doc_id, source, size, source_size, target, copies, taken``.
+def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, row: str | None = None) -> DataFrame:
+    """How often the mix takes each document: ``doc_id, source, size, source_size, target, copies, taken``, and ``row``,
+    the column so named, if one is named.
 
     All documents of a source are taken whole as often as its target allows; for what remains, documents are taken once
     more in a seeded random order until the remainder is reached, to half the size of the last one. A null text has no
@@ -72,15 +73,16 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, s
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     doc_id = F.col("doc_id").cast("long")
+    kept = [] if row is None else [F.col(row).alias("row")]
     order = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8"))
-    sizes = durable(docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), order.alias("lot")))
+    sizes = durable(docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), order.alias("lot"), *kept))
     rates = targets(sizes, weights, share, epochs).withColumnRenamed("source", "of_source")
     drawn = running_totals(sizes, [F.col("lot"), F.col("doc_id"), F.col("size")], {"before": F.col("size")}, ["source"])
     rated = drawn.join(rates, F.col("source").eqNullSafe(F.col("of_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - whole * F.col("source_size")
     copies = (whole + F.when(2 * F.col("before") + F.col("size") < 2 * rest, 1).otherwise(0)).cast("long")
-    return rated.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rated.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if kept else []))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality classifier: document evidence, host and path posteriors, combined by hierarchical empirical Bayes.
 
-A logistic model, fitted on a bounded sample of labelled rows, gives each document its own evidence. Grouped sums of that
-evidence, with no text in any shuffle, give hosts and paths a posterior: a host shrinks toward the global rate, a path
+A logistic model, fitted on a bounded sample of labelled rows, gives each document its own evidence: from figures of form,
+and from what its words and word pairs, hashed, say by the share of good and bad documents that hold them. Grouped sums of
+that evidence, with no text in any shuffle, give hosts and paths a posterior: a host shrinks toward the global rate, a path
 toward its host, by a prior strength that is estimated from how much groups differ beyond chance. A document's own evidence
 is left out of the groups that judge it.
 """
@@ -21,6 +22,8 @@ FIT_ROWS = 20_000
 #: Documents of less than this probability go.
 THRESHOLD = 0.5
 FEATURES = ("log_words", "word_length", "symbol_ends", "upper", "digits", "symbols", "bars", "line_words", "repeat_next", "repeat_trigram", "log_bytes_line", "non_ascii")
+#: Hashes of words, and as many of word pairs, that are told apart.
+BUCKETS = 1 << 14
 _BYTE = np.arange(256)
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90)
 _LETTER = _UPPER | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
@@ -28,9 +31,45 @@ _DIGIT = (_BYTE >= 48) & (_BYTE <= 57)
 _SYMBOL = ~(_LETTER | _DIGIT | SEPARATORS | np.isin(_BYTE, [ord(c) for c in ".,;:'\"-()?"]))
 
 
-def features(texts: pa.ChunkedArray) -> np.ndarray:
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port or a leading ``www.``; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.regexp_replace(host, r"^www\.", "")
+    return F.when(host != "", host)
+
+
+def url_path(url: Column, depth: int = 1) -> Column:
+    """The first ``depth`` steps of a URL's path, ``/`` where it has none; null where there is no host."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+((?:/[^/?#]+){0," + str(depth) + "})", 1)
+    return F.when(url_host(url).isNotNull(), F.when(path != "", path).otherwise("/"))
+
+
+def buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the bucket of each word and each word pair."""
+    hashes, row = words.hashes(1), words.rows()
+    pair, at = windows(hashes, 2, 6), np.flatnonzero(starts_in_row(words, 2))
+    shift = np.uint64(64 - (BUCKETS - 1).bit_length())
+    place = np.concatenate([(hashes >> shift).astype(np.int64), BUCKETS + (pair[at] >> shift).astype(np.int64)])
+    return np.concatenate([row, row[at]]), place
+
+
+def word_evidence(words: Words, table: np.ndarray) -> np.ndarray:
+    """For each text what its words say on average, and what its word pairs say."""
+    row, place = buckets(words)
+    key = 2 * row + (place >= BUCKETS)
+    total, n = np.bincount(key, weights=table[place], minlength=2 * len(words.n)), np.bincount(key, minlength=2 * len(words.n))
+    return (total / np.maximum(n, 1)).reshape(-1, 2)
+
+
+def odds_of(holders: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """For each bucket the log odds of a good document that holds it: ``holders`` by quality and bucket, of so many documents."""
+    share = (holders + 0.5) / (documents[:, None] + 1.0)
+    return np.log(share[1]) - np.log(share[0])
+
+
+def features(texts: pa.ChunkedArray | Words) -> np.ndarray:
     """A row of FEATURES for each text."""
-    words = Words(texts)
+    words = texts if isinstance(texts, Words) else Words(texts)
     n_rows = len(words.n)
     starts, ends = words.row_start[:-1], np.maximum(words.row_start[1:] - 1, words.row_start[:-1])
     size = np.maximum(ends - starts, 1)
@@ -114,10 +153,11 @@ def combine(evidence: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, evidence, host_posterior, path_posterior, score, accepted`` from ``doc_id, host, path, evidence``.
 
     The score's log odds are those of the evidence, plus those of the path's posterior less those of the global rate.
-    Null hosts are one host, and a host's null paths one path.
+    Null hosts are one host, and a host's null paths one path. A column ``row`` is handed on.
     """
     p = F.greatest(F.least(F.col("evidence"), F.lit(1 - 1e-6)), F.lit(1e-6))
-    rows = evidence.select("doc_id", "host", "path", p.alias("evidence"))
+    kept = [c for c in evidence.columns if c == "row"]
+    rows = evidence.select("doc_id", "host", "path", p.alias("evidence"), *kept)
     sums = [F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q"), F.count(F.lit(1)).cast("double").alias("n")]
     paths = durable(rows.groupBy("host", "path").agg(*sums))
     hosts = durable(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")))
@@ -133,31 +173,72 @@ def combine(evidence: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     path_posterior = (F.col("s") - F.col("evidence") + path_prior * F.col("host_posterior")) / (F.col("n") - 1 + path_prior)
     odds = _logit(F.col("evidence")) + _logit(F.greatest(F.least(F.col("path_posterior"), F.lit(1 - 1e-6)), F.lit(1e-6))) - float(np.log(rate / (1 - rate)))
     scored = joined.withColumn("host_posterior", host_posterior).withColumn("path_posterior", path_posterior).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return scored.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("accepted"))
+    return scored.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("accepted"), *kept)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``doc_id, evidence, host_posterior, path_posterior, score, accepted`` for all documents.
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, row: str | None = None) -> DataFrame:
+    """``doc_id, evidence, host_posterior, path_posterior, score, accepted`` for all documents, and ``row``, the column so
+    named, if one is named.
 
     ``labels`` has ``doc_id, quality``; rows with a null in either are passed over, and ids labelled both ways count as
     good if at least half of their labels are. At most ``fit_rows`` labelled rows, drawn by hash of their id, fit the
-    evidence; everything else covers all rows. Without labels of both kinds all evidence is 1/2. A null text equals an
+    evidence, with all rows that repeat an id; everything else covers all rows. Without labels of both kinds all evidence is 1/2. A null text equals an
     empty one; null ids stay and have no label; repeated rows are judged each by itself; an empty table gives no rows.
     """
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
+    kept = [] if row is None else [F.col(row).cast("long").alias("row")]
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"), *kept)
+    model = _fitted(wanted.select("doc_id", "text"), labels, fit_rows)
 
     def measure(rows: pa.Table) -> pa.Table:
-        x = features(rows["text"])
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64()))
-        return rows.drop_columns(["text"]).append_column("x", flat)
+        words = Words(rows["text"])
+        odds = np.full(len(words.n), 0.0) if model is None else np.column_stack([features(words), word_evidence(words, model[0])]) @ model[1] + model[2]
+        return rows.drop_columns(["text"]).append_column("evidence", pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700)))))
+
+    measured = map_tables(wanted, measure, "doc_id long, host string, path string" + ", row long" * len(kept) + ", evidence double")
+    return combine(durable(measured), threshold)
+
 
-    measured = durable(map_tables(wanted, measure, "doc_id long, host string, path string, x array<double>"))
+def _fitted(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """What buckets say, and weights and intercept of the logistic model; None without labels of both kinds.
+
+    The sample is halved, and each half's words are judged by the other, so that the logistic model sees word evidence as
+    strong as it is on texts it hasn't been fitted on.
+    """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    sample = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "quality").toArrow()
-    x = np.array(sample["x"].to_pylist(), float).reshape(sample.num_rows, len(FEATURES))
-    weights, intercept = fit(x, sample["quality"].to_numpy().astype(float))
-    odds = F.aggregate(F.zip_with("x", F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(intercept), lambda a, b: a + b)
-    return combine(measured.select("doc_id", "host", "path", (1 / (1 + F.exp(-odds))).alias("evidence")), threshold)
+    drawn = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    drawn = durable(drawn.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")))
+    sample = durable(docs.join(F.broadcast(drawn), "doc_id").select("text", "quality", "half"))  # fit_rows ids at most
+
+    def count(rows: pa.Table) -> pa.Table:
+        words = Words(rows["text"])
+        kind = 2 * rows["half"].to_numpy() + rows["quality"].to_numpy()
+        row, place = buckets(words)
+        row, place = np.divmod(np.unique(row * (2 * BUCKETS) + place), 2 * BUCKETS)
+        # One place more counts the documents themselves.
+        cell = np.concatenate([kind[row] * (2 * BUCKETS + 1) + place, kind * (2 * BUCKETS + 1) + 2 * BUCKETS])
+        cells, n = np.unique(cell, return_counts=True)
+        return pa.table([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    cells = map_tables(sample, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # the buckets' number
+    counts = np.zeros(4 * (2 * BUCKETS + 1))
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    counts = counts.reshape(2, 2, -1)
+    holders, documents = counts[:, :, :-1], counts[:, :, -1]
+    if not documents.sum(0).all():
+        return None
+    tables = [odds_of(holders[1 - half], documents[1 - half]) for half in (0, 1)]
+
+    def measure(rows: pa.Table) -> pa.Table:
+        words = Words(rows["text"])
+        half = rows["half"].to_numpy()[:, None]
+        x = np.column_stack([features(words), np.where(half == 0, word_evidence(words, tables[0]), word_evidence(words, tables[1]))])
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64()))
+        return pa.table([flat, rows["quality"]], names=["x", "quality"])
+
+    measured = map_tables(sample, measure, "x array<double>, quality int").toArrow()
+    x = np.array(measured["x"].to_pylist(), float).reshape(measured.num_rows, len(FEATURES) + 2)
+    weights, intercept = fit(x, measured["quality"].to_numpy().astype(float))
+    return odds_of(holders.sum(0), documents.sum(0)), weights, intercept
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute once and keep in the shared folder, so that a lost executor costs no recomputation of what came before."""
     shared_folder(df.sparkSession)
@@ -80,5 +87,36 @@ def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(wanted) if n <= FEW else wanted, "doc_id", "left_semi")
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is not in ``gone``, which is counted first: few go to where the rows are."""
+    gone, n = durable_and_size(gone.select(key))
+    return rows.join(F.broadcast(gone) if n <= FEW else gone, key, "left_anti")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a number of their own, the same whenever they are read, and the name of that column.
+
+    Files are split alike each time they are scanned, so a scan's rows can be numbered as they come. Anything else, such
+    as what comes out of a shuffle, is written to the shared folder first.
+    """
+    row = fresh(df, "row")
+    try:
+        df.select("_metadata.row_index").schema  # only what is read from files has it
+    except AnalysisException:
+        path = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+        names = [f"c{i}" for i in range(len(df.columns))]  # which a file can hold whatever the columns are called
+        df.toDF(*names).write.parquet(path)
+        df = df.sparkSession.read.parquet(path).toDF(*df.columns)
+    return df.withColumn(row, F.monotonically_increasing_id()), row
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -338,6 +338,44 @@ def test_quality_on_held_out_labels(spark):
     assert sum(good) / len(good) > 0.98
 
 
+def test_features_against_plain_ones():
+    texts = ["", None, "One two two\nTHREE| 44 five!", "a b c a b c a b c", "é" * 5 + " x", " \t "]
+    got = quality.features(pa.chunked_array([texts]))
+    for t, row in zip(texts, got, strict=True):
+        raw = (t or "").encode()
+        w = [x.encode() for x in brute.words(t)]
+        n, size, lines = max(len(w), 1), max(len(raw), 1), raw.count(b"\n") + 1
+        upper, digit = sum(65 <= c <= 90 for c in raw), sum(48 <= c <= 57 for c in raw)
+        letter = upper + sum(97 <= c <= 122 or c >= 128 for c in raw)
+        plain = set(b" \t\n\x0b\x0c\r.,;:'\"-()?")
+        symbol = lambda c: not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or 48 <= c <= 57 or c in plain)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        want = [
+            math.log1p(len(w)), sum(map(len, w)) / n, sum(symbol(x[-1]) for x in w) / n, upper / max(letter, 1), digit / size, sum(map(symbol, raw)) / size,
+            raw.count(b"|") / n, math.log1p(len(w) / lines), sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+            1 - len(set(grams)) / len(grams) if grams else 0, math.log1p(size / lines), sum(c >= 128 for c in raw) / size,
+        ]
+        assert row.tolist() == pytest.approx(want), t
+
+
+def test_word_evidence_tells_texts_of_one_form_apart(spark):
+    made = random.Random(3)
+    good, bad = (["".join(made.choice("abcdefgh") for _ in range(5)) for _ in range(300)] for _ in range(2))
+    rows = [(i, " ".join(made.choice(good if i % 2 else bad) for _ in range(40)), "h", "p") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    judged = quality.classify(docs, labels, F.col("host"), F.col("path")).filter("doc_id >= 400").collect()
+    assert sum(r.accepted == bool(r.doc_id % 2) for r in judged) >= 0.98 * len(judged)
+
+
+def test_hosts_and_paths_of_urls(spark):
+    urls = {"https://www.Example.org:8080/a/b?c=/d": ("example.org", "/a"), "http://me:pw@x.net": ("x.net", "/"), "ftp://h/": ("h", "/"), "no url": (None, None), "": (None, None), None: (None, None)}
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", quality.url_host(F.col("url")).alias("h"), quality.url_path(F.col("url")).alias("p"))
+    assert {r.url: (r.h, r.p) for r in got.collect()} == urls
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert pages.filter(quality.url_host(F.col("url")).isNull() & F.col("url").startswith("http")).count() == 0
+
+
 def test_quality_of_odd_tables(spark, rows, docs, empty):
     labels = spark.createDataFrame([(None, 1), (1, None), (2, 1), (2, 0), (3, 0), (4, 1), (60, 1)], "doc_id long, quality int")
     got = quality.classify(docs, labels, F.col("source"), F.col("lang"))
