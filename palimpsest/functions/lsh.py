@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,30 +17,19 @@ def best_bands(threshold: float, permutations: int, step: float = 0.001) -> tupl
     """Bands and rows, of at most so many permutations, with the least even mix of false positives and false negatives.
 
     The chance that sets of similarity s meet in a band is 1 - (1 - s^r)^b; its integral below the threshold is what is
-    found in vain, that of its complement above what is missed.
+    found in vain, that of its complement above what is missed. All pairs of bands and rows are tried.
     """
-    grid = [step * (i + 0.5) for i in range(round(1 / step))]
-    below, above = [s for s in grid if s < threshold], [s for s in grid if s >= threshold]
+    grid = step * (np.arange(round(1 / step)) + 0.5)
+    above = grid >= threshold
     best, choice = float("inf"), (1, permutations)
     for rows in range(1, permutations + 1):
-        miss_below, miss_above = [1 - s**rows for s in below], [1 - s**rows for s in above]
-        # With more bands one error rises and the other falls, so the sum has one valley over the number of bands.
-        low, high = 1, permutations // rows
-
-        def error(bands: int, a=miss_below, b=miss_above) -> float:
-            return step * (sum(1 - x**bands for x in a) + sum(x**bands for x in b)) / 2
-
-        while high - low > 2:
-            third = (high - low) // 3
-            if error(low + third) < error(high - third):
-                high -= max(third, 1)
-            else:
-                low += max(third, 1)
-        for bands in range(low, high + 1):
-            if error(bands) < best:
-                best, choice = error(bands), (bands, rows)
-        if rows > 32:
-            break
+        apart = 1 - grid**rows
+        missed = np.ones_like(grid)
+        for bands in range(1, permutations // rows + 1):
+            missed = missed * apart
+            error = step * np.where(above, missed, 1 - missed).sum() / 2
+            if error < best - 1e-12:
+                best, choice = error, (bands, rows)
     return choice
 
 

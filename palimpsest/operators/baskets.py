@@ -56,7 +56,10 @@ def group_vectors(baskets: DataFrame, params: BasketParams) -> DataFrame:
 
 def user_vectors(baskets: DataFrame, params: BasketParams) -> DataFrame:
     """``user_id, item_id, value``: decayed means of a user's group vectors."""
-    groups = group_vectors(baskets, params)
+    return _of_groups(group_vectors(baskets, params), baskets, params)
+
+
+def _of_groups(groups: DataFrame, baskets: DataFrame, params: BasketParams) -> DataFrame:
     last = baskets.groupBy("user_id").agg(F.ceil(F.max("basket_no") / params.group_size).cast("int").alias("_g"))
     weight = F.pow(F.lit(params.r_group), F.col("_g") - F.col("grp")) / F.col("_g")
     return groups.join(last, "user_id").groupBy("user_id", "item_id").agg(F.sum(weight * F.col("value")).alias("value"))
@@ -83,11 +86,11 @@ def overlaps(sets: DataFrame, queries: DataFrame, candidates: DataFrame | None =
 
     Query users are cut down before the join. ``candidates`` (``user_id, other_id``) restricts the pairs.
     """
+    if candidates is not None:
+        return _overlaps_of(sets, queries, candidates)
     sizes = sets.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
     mine = sets.join(queries.select("user_id").distinct(), "user_id", "left_semi")
     pairs = mine.join(sets.select(F.col("user_id").alias("other_id"), "item_id"), "item_id").filter("user_id <> other_id")
-    if candidates is not None:
-        pairs = pairs.join(candidates.select("user_id", "other_id").distinct(), ["user_id", "other_id"], "left_semi")
     counted = pairs.groupBy("user_id", "other_id").agg(F.count(F.lit(1)).alias("both"))
     a = sizes.select("user_id", F.col("size").alias("_a"))
     b = sizes.select(F.col("user_id").alias("other_id"), F.col("size").alias("_b"))
@@ -95,6 +98,16 @@ def overlaps(sets: DataFrame, queries: DataFrame, candidates: DataFrame | None =
     return joined.select("user_id", "other_id", (F.col("both").cast("double") / (F.col("_a") + F.col("_b") - F.col("both"))).alias("jaccard"))
 
 
+def _overlaps_of(sets: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The same for pairs that are given: each meets the item sets of both, and no list of who has an item is opened."""
+    lists = sets.groupBy("user_id").agg(F.collect_set("item_id").alias("items"))
+    pairs = candidates.select("user_id", "other_id").distinct().join(queries.select("user_id").distinct(), "user_id", "left_semi")
+    own, theirs = lists.withColumnRenamed("items", "_own"), lists.select(F.col("user_id").alias("other_id"), F.col("items").alias("_theirs"))
+    both = F.size(F.array_intersect("_own", "_theirs"))
+    rows = pairs.filter("user_id <> other_id").join(own, "user_id").join(theirs, "other_id").withColumn("_both", both).filter("_both > 0")
+    return rows.select("user_id", "other_id", (F.col("_both").cast("double") / (F.size("_own") + F.size("_theirs") - F.col("_both"))).alias("jaccard"))
+
+
 def neighbours(pairs: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("user_id").orderBy(F.desc("jaccard"), "other_id")
     return pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
@@ -129,15 +142,30 @@ def merged(vectors: DataFrame, near: DataFrame, alpha: float) -> DataFrame:
     return added(scaled(own, alpha), scaled(mean, 1 - alpha))
 
 
-def recommend(baskets: DataFrame, queries: DataFrame, params: BasketParams, candidates: str = "exact") -> DataFrame:
-    """``user_id, item_id, value`` for query users. Candidates are all users that share an item, or those of the LSH buckets."""
-    vectors = user_vectors(baskets, params)
+def truncated(vectors: DataFrame) -> DataFrame:
+    """Values cut to fixed point."""
+    return discretised(vectors).withColumn("value", F.col("value").cast("double") / SCALE)
+
+
+def discrete_user_vectors(baskets: DataFrame, params: BasketParams) -> DataFrame:
+    """User vectors with values cut to fixed point in each group and again at the end, as sums by whole numbers keep them."""
+    groups = truncated(group_vectors(baskets, params))
+    return truncated(_of_groups(groups, baskets, params))
+
+
+def recommend(baskets: DataFrame, queries: DataFrame, params: BasketParams, candidates: str = "exact", discrete: bool = False) -> DataFrame:
+    """``user_id, item_id, value`` for query users. Candidates are all users that share an item, or those of the LSH buckets.
+
+    With ``discrete``, vectors of groups and users and the result are cut to fixed point.
+    """
+    vectors = discrete_user_vectors(baskets, params) if discrete else user_vectors(baskets, params)
     sets = vectors.select("user_id", "item_id")
     found = None
     if candidates == "lsh":
         n_bands, rows = best_bands(params.jaccard_threshold, params.permutations)
         found = lsh_candidates(sets, queries, params.permutations, n_bands, rows, params.seed)
-    return merged(vectors, neighbours(overlaps(sets, queries, found), params.k), params.alpha)
+    out = merged(vectors, neighbours(overlaps(sets, queries, found), params.k), params.alpha)
+    return truncated(out) if discrete else out
 
 
 def top_items(vectors: DataFrame, n: int, digits: int = 9) -> DataFrame:

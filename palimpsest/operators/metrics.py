@@ -46,9 +46,24 @@ def hit(predictions: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return users.join(found, "user_id", "left").select("user_id", F.coalesce("_hit", F.lit(0)).alias("hit"))
 
 
-def summary(predictions: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+def by_user(predictions: DataFrame, truth: DataFrame, k: int, ideal: str = "truncated") -> DataFrame:
+    """``user_id, n_true, precision, recall, f1, ndcg, hit`` in one pass; all but the first are null for users without truth."""
+    wanted = truth.select("user_id", "item_id").distinct()
+    sizes = wanted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_true"))
+    top = predictions.filter(F.col("rank") <= k).select("user_id", "item_id", "rank")
+    rows = top.join(wanted.withColumn("_hit", F.lit(1)), ["user_id", "item_id"], "left").join(sizes, "user_id", "left")
+    places = F.least(F.lit(k), F.col("n_true")) if ideal == "truncated" else F.col("n_true")
+    gain = F.when((F.col("_hit") == 1) & (F.col("rank") <= (places if ideal == "truncated" else F.lit(k))), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
+    users = rows.groupBy("user_id").agg(F.max("n_true").alias("n_true"), F.count(F.lit(1)).alias("_shown"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("_n"), F.sum(gain).alias("_gain"))
+    best = F.aggregate(F.sequence(F.lit(1), places.cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    p, r = F.col("_n").cast("double") / F.col("_shown"), F.col("_n").cast("double") / F.col("n_true")
+    known = lambda c: F.when(F.col("n_true").isNotNull(), c)
+    f1 = F.when(F.col("_n") > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return users.select("user_id", "n_true", known(p).alias("precision"), known(r).alias("recall"), known(f1).alias("f1"), known(F.col("_gain") / best).alias("ndcg"), known((F.col("_n") > 0).cast("int")).alias("hit"))
+
+
+def summary(predictions: DataFrame, truth: DataFrame, k: int, ideal: str = "truncated") -> DataFrame:
     """One row of means over users with truth; the hit ratio is over all users with predictions."""
-    n = predictions.select("user_id").distinct().agg(F.count(F.lit(1)).alias("n_users"))
-    means = precision_recall(predictions, truth, k).join(ndcg(predictions, truth, k), "user_id").join(hit(predictions, truth, k), "user_id")
-    row = means.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.avg("ndcg").alias("ndcg"), F.sum("hit").alias("hits"))
-    return row.crossJoin(n).select("precision", "recall", "f1", "ndcg", (F.col("hits").cast("double") / F.col("n_users")).alias("hit_ratio"))
+    rows = by_user(predictions, truth, k, ideal)
+    means = rows.agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1", "ndcg")), F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n_users"))
+    return means.select("precision", "recall", "f1", "ndcg", (F.col("hits").cast("double") / F.col("n_users")).alias("hit_ratio"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions.held import ranked
+
 
 def stats(baskets: DataFrame) -> DataFrame:
     """One row: users, items, baskets, and baskets of a user on average."""
@@ -27,10 +29,10 @@ def prune(baskets: DataFrame, min_items: int = 2, min_baskets: int = 2) -> DataF
 
 def item_codes(items: DataFrame) -> DataFrame:
     """``item_id, code``: codes from 0 in the order of ids."""
-    distinct = items.select("item_id").distinct()
-    # Parts of the order are counted first, so that no one task numbers all items.
-    parts = distinct.repartitionByRange("item_id").withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(W.partitionBy("_part").orderBy("item_id")) - 1
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_local", local).join(sizes.select("_part", before.alias("_before")), "_part").select("item_id", (F.col("_local") + F.col("_before")).alias("code"))
+    return ranked(items.select("item_id").distinct(), "item_id", "code")
+
+
+def first_seen_codes(interactions: DataFrame, seq: str = "seq") -> DataFrame:
+    """``item_id, code``: codes from 0 in the order in which items are first seen; ``seq`` numbers the rows, without repeats."""
+    first = interactions.groupBy("item_id").agg(F.min(seq).alias("_first"))
+    return ranked(first, "_first", "code").select("item_id", "code")

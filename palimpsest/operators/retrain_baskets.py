@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.fixed import fixed
+from palimpsest.functions.held import ranked
 from palimpsest.functions.similarity import softmax
 from palimpsest.operators.baskets import added, scaled
 
@@ -121,7 +122,7 @@ def split(history: DataFrame, future: DataFrame | None = None, train: float = 0.
         enough = future.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_future)
         users = users.join(enough.select("user_id"), "user_id", "left_semi")
     total = users.agg(F.count(F.lit(1)).alias("total"))
-    ranked = users.crossJoin(total).withColumn("place", F.row_number().over(W.orderBy("user_id")))
+    placed = ranked(users, "user_id", "_rank").crossJoin(total).withColumn("place", F.col("_rank") + 1)
     to_train, to_fit = F.floor(F.col("total") * train), F.floor(F.col("total") * train * (1 - validate))
     part = F.when(F.col("place") <= to_fit, "train").when(F.col("place") <= to_train, "validation").otherwise("test")
-    return ranked.select("user_id", part.alias("part"))
+    return placed.select("user_id", part.alias("part"))

@@ -96,7 +96,10 @@ def neighbours(history: DataFrame, evolving: DataFrame, params: RefitParams, now
         F.sum("weight").alias("dot"), F.max("n_distinct").alias("n_distinct"), F.min("back").alias("step"), F.max("last").alias("last")
     )
     if params.sample_size:
-        lot = {"recent": F.desc("last"), "random": F.xxhash64("hist_id", F.lit(params.seed))}.get(params.sampling, F.col("hist_id"))
+        lots = {"recent": F.desc("last"), "random": F.xxhash64("hist_id", F.lit(params.seed)), "slice": F.col("hist_id")}
+        if params.sampling not in lots:
+            raise ValueError(f"sampling is one of {', '.join(lots)}, not {params.sampling}")
+        lot = lots[params.sampling]
         pairs = pairs.withColumn("_r", F.row_number().over(W.partitionBy("session_id").orderBy(lot, "hist_id"))).filter(F.col("_r") <= params.sample_size)
     similarity = F.col("dot") / F.col("n_distinct")
     if params.weighting_time:

@@ -295,9 +295,7 @@ b AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY basket_no
 @query("tifu_delete_baskets", f"WITH {S.tifu(_DELETED)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
 def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
-    after = C.delete_baskets(baskets, baskets.filter("user_id % 5 = 0 AND basket_no = 2"))
-    old = bm.recommend(baskets, _queries(baskets, users), SHOP)
-    return _vector(inc.update_baskets(baskets, after, _queries(baskets, users), old, SHOP).result)
+    return _vector(inc.update_baskets(baskets, _queries(baskets, users), SHOP, gone=baskets.filter("user_id % 5 = 0 AND basket_no = 2")).result)
 
 
 _ADDED = """ends AS (SELECT user_id, max(basket_no) AS last FROM all_baskets GROUP BY user_id),
@@ -307,9 +305,7 @@ b AS (SELECT user_id, basket_no, item_id FROM all_baskets UNION ALL SELECT a.use
 @query("tifu_add_baskets", f"WITH {S.tifu(_ADDED)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
 def _(spark, d, users=TENTH):
     baskets = tables.baskets(spark, d)
-    after = C.add_baskets(baskets, baskets.filter("user_id % 7 = 0 AND basket_no = 1"))
-    old = bm.recommend(baskets, _queries(baskets, users), SHOP)
-    return _vector(inc.update_baskets(baskets, after, _queries(baskets, users), old, SHOP).result)
+    return _vector(inc.update_baskets(baskets, _queries(baskets, users), SHOP, more=baskets.filter("user_id % 7 = 0 AND basket_no = 1")).result)
 
 
 _LSH = f"{S.tifu()}, {S.signatures(SHOP.permutations, SHOP.seed)}, {S.bands(N_BANDS, BAND_ROWS)}"

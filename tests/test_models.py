@@ -207,9 +207,16 @@ def test_basket_updates_equal_recomputation(spark, seed):
     base, queries = baskets(spark, rows), interactions(spark, [(u, 0) for u in range(0, 8, 2)])
     params = BasketParams(group_size=2, k=2)
     gone = base.filter("user_id IN (1, 2) AND basket_no = 1")
-    after = C.add_baskets(C.delete_baskets(base, gone), baskets(spark, [(5, 1, [1, 2]), (9, 1, [3, 4])]))
-    update = inc.update_baskets(base, after, queries, bm.recommend(base, queries, params), params)
+    more = baskets(spark, [(5, 1, [1, 2]), (9, 1, [3, 4])])
+    after = C.add_baskets(C.delete_baskets(base, gone), more)
+    update = inc.update_baskets(base, queries, params, gone, more)
     assert model_rows(update.result) == model_rows(bm.recommend(after, queries, params))
+    assert model_rows(update.base.select("user_id", "basket_no")) == model_rows(after.select("user_id", "basket_no"))
+    # One step after another, from what was saved, is as good as both at once.
+    state = inc.BasketState.build(base, queries, params).saved()
+    first, _ = inc.update_basket_state(state, queries, params, gone=gone)
+    second, _ = inc.update_basket_state(first.saved(), queries, params, more=more)
+    assert model_rows(second.result) == model_rows(update.result)
 
 
 def test_changes(spark):
@@ -263,6 +270,60 @@ def test_distant_users_are_neighbours_by_norm(spark):
     assert [r.other_id for r in sorted(near, key=lambda r: r.distance)] == [1, 3, 2]
 
 
+def test_bands_are_the_best_of_all():
+    grid = [0.01 * (i + 0.5) for i in range(100)]
+
+    def error(threshold, bands, rows):
+        return sum((1 - s**rows) ** bands if s >= threshold else 1 - (1 - s**rows) ** bands for s in grid)
+
+    for threshold, n in ((0.1, 128), (0.8, 128), (0.9, 256), (0.95, 256)):
+        found = best_bands(threshold, n, 0.01)
+        least = min(error(threshold, b, r) for r in range(1, n + 1) for b in range(1, n // r + 1))
+        assert error(threshold, *found) == pytest.approx(least, abs=1e-6)
+    bands, rows = best_bands(0.95, 1280)
+    assert rows > 32 and bands * rows <= 1280
+
+
+def test_given_candidates_have_the_overlaps_of_all(spark):
+    made = random.Random(2)
+    sets = interactions(spark, sorted({(made.randrange(12), made.randrange(9)) for _ in range(60)}))
+    users = sets.select("user_id").distinct()
+    every = bm.overlaps(sets, users)
+    pairs = users.crossJoin(users.withColumnRenamed("user_id", "other_id"))
+    assert model_rows(bm.overlaps(sets, users, pairs)) == model_rows(every)
+
+
+def test_measures_in_one_pass_are_those_of_each(spark):
+    made = random.Random(3)
+    predictions = spark.createDataFrame([(u, i, r + 1) for u in range(6) for r, i in enumerate(made.sample(range(9), 5))], "user_id long, item_id long, rank int")
+    truth = interactions(spark, [(u, made.randrange(9)) for u in range(5) for _ in range(3)])
+    for ideal in ("truncated", "full"):
+        rows = mm.by_user(predictions, truth, 3, ideal).filter("n_true IS NOT NULL")
+        assert model_rows(rows.select("user_id", "ndcg")) == model_rows(mm.ndcg(predictions, truth, 3, ideal))
+        assert model_rows(rows.select("user_id", "precision", "recall", "f1")) == model_rows(mm.precision_recall(predictions, truth, 3).drop("n_correct"))
+        assert model_rows(rows.select("user_id", "hit")) == model_rows(mm.hit(predictions, truth, 3))
+
+
+def test_codes(spark):
+    rows = spark.createDataFrame([(3, 7), (1, 9), (2, 7), (4, 1), (5, 9)], "seq long, item_id long")
+    assert model_rows(prep.item_codes(rows)) == [(1, 0), (7, 1), (9, 2)]
+    assert model_rows(prep.first_seen_codes(rows)) == [(1, 2), (7, 1), (9, 0)]
+
+
+def test_discrete_vectors(spark):
+    rows = baskets(spark, [(1, n + 1, [n % 3, 5]) for n in range(5)] + [(2, 1, [0, 5])])
+    params = BasketParams(group_size=2, k=1)
+    exact, cut = (found(v, "user_id", "item_id", value="value") for v in (bm.user_vectors(rows, params), bm.discrete_user_vectors(rows, params)))
+    assert exact.keys() == cut.keys() and all(abs(exact[x] - cut[x]) < 1e-6 for x in exact)
+    users = interactions(spark, [(1, 0)])
+    assert bm.recommend(rows, users, params, discrete=True).count() == bm.recommend(rows, users, params).count()
+
+
+def test_unknown_sampling_is_an_error(spark):
+    with pytest.raises(ValueError):
+        rs.neighbours(history(spark, HISTORY), evolving(spark, [10]), RefitParams(sampling="slices"))
+
+
 def test_discretised_and_preparation(spark):
     v = spark.createDataFrame([(1, 1, 0.1234567890123459)], "user_id long, item_id long, value double")
     assert bm.discretised(v).first().value == 123456789012345
