@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import durable, partitions
+from palimpsest.llm.shared import durable, partitions, released
 
 #: Bytes of text in a block, unless a single document has more.
 BLOCK_BYTES = 1 << 20
@@ -53,8 +53,10 @@ class Blocks:
         return max(2 * partitions(self.df.sparkSession), -(-self.n_bytes // bytes_each), 1)
 
 
-def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
-    """Pack all rows of ``docs``; one column must be named ``text``. Rows keep their order within a partition."""
+def cut(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of BLOCK_SCHEMA that hold all rows of ``docs``; one column must be named ``text``. Rows keep their order within a
+    partition, so a scan gives the same blocks, of the same ids, each time it is read.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -88,8 +90,13 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
         if held:
             yield flush()
 
+    return docs.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """All rows of ``docs`` in durable blocks; see ``cut``."""
     seen = Observation()
-    df = docs.mapInArrow(run, BLOCK_SCHEMA).observe(seen, F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_blocks"))
+    df = cut(docs, block_bytes).observe(seen, F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_blocks"))
     df = durable(df)
     got = seen.get
     return Blocks(df, int(got["n_bytes"] or 0), int(got["n_blocks"] or 0))
@@ -120,11 +127,14 @@ def _resolve(blocks: Blocks, answers: DataFrame | None, function: Callable, colu
                     out = function(block, unpack(blob.as_buffer()), None)
                     if out.num_rows:
                         yield from out.to_batches()
+                    del out
+                    released()
 
         return df.mapInArrow(each, columns)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [function(block, unpack(blob.as_buffer()), right) for block, blob in zip(left["block"].to_pylist(), left["blob"], strict=True)]
+        released()
         return pa.concat_tables(parts)
 
     return df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, columns)

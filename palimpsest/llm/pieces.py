@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding with a distinct-chunk table.
 
 In the model's normal form spaces are markers, and no piece has a marker after another character. So a text falls into
-chunks - a run of markers with the word that follows it - that pieces never cross: each task keeps a table of the distinct
-chunks that it has met, segments each of them once, and joins the ids back by position. A third of all words being one word
-costs one segmentation. The table is emptied when it is full, so memory is bounded whatever the vocabulary;
-it is a cache for each task and not a shuffled table because joining ids back to every word of the corpus would
-move several times the corpus, for words that take microseconds to segment again.
+chunks - a run of markers with the word that follows it - that pieces never cross. Blocks of documents send their distinct
+chunks to buckets, which make up the table: a bucket segments each distinct chunk once, and decodes it once, and answers
+every block that has it. Block and answers meet again, and ids are joined back to texts by position. A third of all
+words being one word, it reaches its bucket once for each block. Blocks are cut anew from the scan where they are needed
+again, so that texts move once, compressed.
+
+A bucket is asked by no more than ``ASKERS`` blocks; beyond that many there are several tables, each for its own blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -20,12 +23,20 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm import blocks as B
+from palimpsest.llm.shared import numbered, partitions, released
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct chunks that a task holds at most.
-TABLE = 400_000
 MARK = "▁"
+BLOCK_BYTES = 4 << 20
+#: Bytes of text that a bucket holds the distinct chunks of, and blocks that one table answers.
+BUCKET_BYTES, ASKERS = 8 << 20, 4096
+ASKED = "bucket int, part int, block string, chunks binary"
+ANSWERED = "block string, bucket int, sizes binary, ids binary, other array<struct<at:int,text:string>>"
 
 
 class Pieces:
@@ -37,38 +48,28 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("pieces of this model cross word markers; encode whole texts instead")
         self.marker = self.model.piece_to_id(MARK)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.texts: dict[tuple[int, ...], str] = {}
         #: Which pieces begin with a marker, and which are nothing but markers.
         self.opens = np.array([p.startswith(MARK) for p in pieces])
         self.blank = np.array([not p.strip(MARK) for p in pieces])
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        """Ids of each text, without begin or end."""
-        chunked = [_chunks(x) for x in texts]
-        new = list({c for chunks in chunked for c in chunks if c not in self.ids})
-        if len(self.ids) + len(new) > TABLE:
-            self.ids.clear()
-            new = list({c for chunks in chunked for c in chunks})
-        self._segment(new)
-        get = self.ids.__getitem__
-        return [list(chain.from_iterable(map(get, chunks))) for chunks in chunked]
-
-    def segment_words(self, words: Sequence[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct words, each given with the one space in front of it that stands for its marker."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > TABLE:
-            self.ids.clear()
-            new = words
-        self._segment([w for w in new if MARK not in w])
-        for w in new:
-            if MARK in w:  # a marker that stands in the text itself, and so is a chunk's border
-                self.ids[w] = tuple(self.model.encode(w[1:]))
-        return [self.ids[w] for w in words]
-
-    def _segment(self, chunks: list[str]) -> None:
-        """Put new chunks into the table. Many go to the library as one text, which is cheaper than one by one."""
-        words = [c for c in chunks if c[-1] != " "]
+    def segment_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, each after the one space that stands for its marker, and how many each has."""
+        ids, sizes = [], []
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            found = np.array(self.model.encode(" ".join(part)), np.int32)
+            edge = np.flatnonzero(self.opens[found[1:]] & ~self.blank[found[:-1]]) + 1
+            if len(edge) != len(part) - 1 or any(MARK in w for w in part):  # a marker that stands in a word itself
+                each = self.model.encode(part)
+                found, edge = np.array(list(chain.from_iterable(each)), np.int32), np.cumsum([len(x) for x in each])[:-1]
+            ids.append(found)
+            sizes.append(np.diff(edge, prepend=0, append=len(found)))
+        none = np.zeros(0, np.int32)
+        return np.concatenate([none, *ids]), np.concatenate([none, *sizes]).astype(np.int64)
+
+    def _segment(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of distinct chunks. Many go to the library as one text, which is cheaper than one by one."""
+        words, out = [c for c in chunks if c[-1] != " "], {}
         for start in range(0, len(words), 512):
             part = words[start : start + 512]
             # The library puts a marker before what it is given, so the text goes without its first one.
@@ -76,10 +77,18 @@ class Pieces:
             at = np.array(ids)
             edge = [0, *(np.flatnonzero(self.opens[at[1:]] & ~self.blank[at[:-1]]) + 1).tolist(), len(ids)]
             for chunk, lo, hi in zip(part, edge[:-1], edge[1:], strict=True):
-                self.ids[chunk] = tuple(ids[lo:hi])
+                out[chunk] = tuple(ids[lo:hi])
         for chunk in chunks:
             if chunk[-1] == " ":  # markers at the end of a text
-                self.ids[chunk] = tuple(self.model.encode(chunk[1:])) if len(chunk) > 1 else (self.marker,)
+                out[chunk] = tuple(self.model.encode(chunk[1:])) if len(chunk) > 1 else (self.marker,)
+        return out
+
+    def read(self, chunks: Iterable[str]) -> dict[str, tuple[tuple[int, ...], str]]:
+        """Ids of chunks, and what these are decoded to amid a text, where a marker at the beginning stays."""
+        chunks = list(dict.fromkeys(chunks))
+        ids, before = self._segment(chunks), self.model.encode("x")
+        texts = self.model.decode([[*before, *ids[c]] for c in chunks]) if chunks else []
+        return {c: (ids[c], text[1:]) for c, text in zip(chunks, texts, strict=True)}
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """The text of each list of ids, as the library's ``decode(ids)``."""
@@ -89,9 +98,12 @@ class Pieces:
         return self.model.decode(list(ids))
 
 
+_CHUNK = re.compile(" *[^ ]+| +")
+
+
 def _chunks(text: str) -> list[str]:
     """Chunks of the normal form, with spaces for markers. The empty text has none."""
-    return re.findall(" *[^ ]+| +", " " + text.replace(MARK, " ")) if text else []
+    return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
 @lru_cache(maxsize=2)
@@ -105,14 +117,7 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     A null or empty text has no ids; null ids of documents and repeated rows stay as they are; a text of any length is
     encoded whole; other columns are ignored; an empty table gives no rows.
     """
-    model_file = model_file or public_tokenizers.path(MODEL)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            ids = loaded(model_file).encode([x or "" for x in batch["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return _of(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _joined(docs, model_file, ["ids"])
 
 
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -132,24 +137,93 @@ def round_trip(docs: DataFrame, model_file: str | None = None, with_ids: bool =
 
     Edge cases are those of ``encode`` and ``decode``.
     """
-    model_file = model_file or public_tokenizers.path(MODEL)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    return _joined(docs, model_file, ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = [str(i) for i in range(loaded(model_file).model.get_piece_size())]
-        for batch in _small(batches):
-            ids = loaded(model_file).encode([x or "" for x in batch["text"].to_pylist()])
-            texts = loaded(model_file).decode(ids)
-            columns = [
-                batch["doc_id"],
-                pa.array(map(len, ids), pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(numbers.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _of(docs).mapInArrow(run, schema + ", ids array<int>" * with_ids)
+
+_KINDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
+
+
+def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataFrame:
+    """``doc_id`` and wanted columns, through the distinct-chunk table."""
+    model_file = model_file or public_tokenizers.path(MODEL)
+    rows, _ = numbered(docs.select("doc_id", "text"))  # a scan, or what was written to be one
+    rows = rows.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * partitions(docs.sparkSession), -(-n_bytes // BUCKET_BYTES))
+    parts = -(-n_bytes // (ASKERS * BLOCK_BYTES)) or 1
+    blocks = B.cut(rows, BLOCK_BYTES).select("block", "blob")
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
+                dealt = _dealt((_chunks(x or "") for x in B.unpack(blob.as_buffer())["text"].to_pylist()), buckets)
+                part = zlib.crc32(block.encode()) % parts
+                # Chunks one after another fall apart into the same chunks.
+                packed = [press.compress("".join(chunks).encode()) for chunks in dealt.values()]
+                columns = [pa.array(list(dealt), pa.int32()), pa.array([part] * len(dealt), pa.int32()), pa.array([block] * len(dealt), pa.string()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "part", "block", "chunks"])
+                released()
+
+    def reply(asked: pa.Table) -> pa.Table:
+        press, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        pieces, table = loaded(model_file), {}
+        sizes, ids, other = [], [], []
+        for packed in asked["chunks"].to_pylist():
+            chunks = _CHUNK.findall(opened.decompress(packed).decode())
+            table |= pieces.read([c for c in chunks if c not in table])
+            said = [table[c] for c in chunks]
+            sizes.append(press.compress(np.array([len(x) for x, _ in said], np.int32).tobytes()))
+            ids.append(press.compress(np.fromiter(chain.from_iterable(x for x, _ in said), np.int32).tobytes()))
+            other.append([{"at": at, "text": text} for at, (_, text) in enumerate(said) if text != chunks[at]])
+        columns = [asked["block"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary()), pa.array(other, pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))]
+        return pa.table(columns, names=["block", "bucket", "sizes", "ids", "other"])
+
+    def meet(left: pa.Table, said: pa.Table) -> pa.Table:
+        texts = [(blob_rows["doc_id"], [_chunks(x or "") for x in blob_rows["text"].to_pylist()]) for blob_rows in (B.unpack(x.as_buffer()) for x in left["blob"])]
+        opened, pieces = zstandard.ZstdDecompressor(), loaded(model_file)
+        dealt = _dealt((chunks for _, each in texts for chunks in each), buckets)
+        table: dict[str, tuple[Sequence[int], str]] = {}
+        for bucket, sizes, ids, other in zip(*(said[c].to_pylist() for c in ("bucket", "sizes", "ids", "other")), strict=True):
+            ids = np.frombuffer(opened.decompress(ids), np.int32).tolist()
+            ends = np.cumsum(np.frombuffer(opened.decompress(sizes), np.int32)).tolist()
+            chunks, new = dealt[bucket], {x["at"]: x["text"] for x in other}
+            table |= {c: (ids[lo:hi], new.get(at, c)) for at, (c, lo, hi) in enumerate(zip(chunks, [0, *ends[:-1]], ends, strict=True))}
+        table |= pieces.read({chunks[-1] for _, each in texts for chunks in each if chunks and chunks[-1][-1] == " "})
+        out: dict[str, list] = {c: [] for c in wanted}
+        # Each distinct chunk's part of what is wanted is made once, and joined by position.
+        ids_of, text_of = {c: x for c, (x, _) in table.items()}, {c: x for c, (_, x) in table.items()}
+        size_of = {c: len(x) for c, x in ids_of.items()}
+        said_of = {c: ",".join(map(str, x)) for c, x in ids_of.items()} if "ids_sha256" in wanted else {}
+        for _, each in texts:
+            for chunks in each:
+                for name in wanted:
+                    if name == "ids":
+                        value = list(chain.from_iterable(map(ids_of.__getitem__, chunks)))
+                    elif name == "n_tokens":
+                        value = sum(map(size_of.__getitem__, chunks))
+                    elif name == "ids_sha256":
+                        value = hashlib.sha256(",".join(map(said_of.__getitem__, chunks)).encode()).hexdigest()
+                    else:  # the first marker is the library's own
+                        value = hashlib.sha256("".join(map(text_of.__getitem__, chunks))[1:].encode()).hexdigest()
+                    out[name].append(value)
+        released()
+        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+        ids = pa.chunked_array([c for x, _ in texts for c in x.chunks], pa.int64())
+        return pa.table([ids, *(pa.array(v, kinds.get(c, pa.string())) for c, v in out.items())], names=["doc_id", *wanted])
+
+    answers = blocks.mapInArrow(ask, ASKED).groupBy("bucket", "part").applyInArrow(reply, ANSWERED)
+    schema = ", ".join(["doc_id long", *(f"{c} {_KINDS[c]}" for c in wanted)])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
+
+
+def _dealt(texts: Iterable[list[str]], buckets: int) -> dict[int, list[str]]:
+    """Distinct chunks of texts, but for markers at their ends, by bucket; in order of first sight."""
+    out: dict[int, list[str]] = {}
+    for chunk in dict.fromkeys(chain.from_iterable(texts)):
+        if chunk[-1] != " ":
+            out.setdefault(zlib.crc32(chunk.encode()) % buckets, []).append(chunk)
+    return out
 
 
 def _of(docs: DataFrame) -> DataFrame:
