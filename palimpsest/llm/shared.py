@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,6 +12,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own allocators keep what batches held; the system's gives it back.
+pa.set_memory_pool(pa.system_memory_pool())
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +66,12 @@ def durable_and_size(df: DataFrame) -> tuple[DataFrame, int]:
     return df, int(seen.get["n"])
 
 
+def released() -> None:
+    """Give the memory that a block took back to the system, where the C library knows how to."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_tables(df: DataFrame, function: Callable[[pa.Table], pa.Table | None], schema: str, rows: int = 512) -> DataFrame:
     """Apply a function of Arrow tables to each partition, so many rows at a time, which bounds what a worker holds."""
 
@@ -70,6 +81,7 @@ def map_tables(df: DataFrame, function: Callable[[pa.Table], pa.Table | None], s
                 out = function(pa.Table.from_batches([batch.slice(start, rows)]))
                 if out is not None and out.num_rows:
                     yield from out.to_batches()
+            released()
 
     return df.mapInArrow(run, schema)
 
