@@ -208,6 +208,18 @@ def test_attention_gradients():
         assert (up - down) / 2e-4 == pytest.approx(g[name][at], rel=1e-3)
 
 
+def test_segments_are_those_of_the_library():
+    file, made = public_tokenizers.path(pieces.MODEL), random.Random(5)
+    model, known = sentencepiece.SentencePieceProcessor(model_file=file), scoring.Segments(public_tokenizers.path(pieces.MODEL), 60)
+    for _ in range(12):  # words come again, and the table is begun anew
+        words = sorted({"".join(made.choice("abé▁.") for _ in range(made.randrange(1, 4))) for _ in range(30)})
+        texts = pa.chunked_array([[" ".join(made.choice(words) for _ in range(n)) for n in (0, 1, 9, 40)]])
+        read = scoring._Read.of(pa.table([pa.array([1, 2, 3, 4], pa.int64()), texts], names=["doc_id", "text"]))
+        ids, lengths = read.subwords(known)
+        want = [[i for w in brute.words(t) for i in model.encode(w)] + [scoring.END] for t in texts.to_pylist()]
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
 def test_windows_score_every_id_once_with_the_ids_before_it():
     vocabulary, _, _ = _toy()
     made = np.random.default_rng(2)
