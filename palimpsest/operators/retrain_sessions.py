@@ -129,6 +129,40 @@ def scores(history: DataFrame, evolving: DataFrame, params: RefitParams, now: in
     return summed
 
 
+def items_of_sessions(history: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``session_id, item_id``: distinct items of the sessions asked for."""
+    return history.join(sessions.select("session_id").distinct(), "session_id", "left_semi").select("session_id", "item_id").distinct()
+
+
+def sessions_of_items(history: DataFrame, items: DataFrame) -> DataFrame:
+    """``item_id, session_id``: distinct sessions of the items asked for."""
+    return history.join(items.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "session_id").distinct()
+
+
+class Serving:
+    """Sessions that come in click by click. What was clicked so far is kept, and each answer is that of all clicks so far."""
+
+    def __init__(self, history: DataFrame, params: RefitParams = RefitParams()):
+        self.history, self.params = history, params
+        self.clicks: dict[int, list[int]] = {}
+
+    def click(self, session_id: int, item_id: int, skip: bool = False) -> DataFrame | None:
+        """``session_id, item_id, score`` after one more click; with ``skip`` it is only taken in."""
+        seen = self.clicks.setdefault(session_id, [])
+        seen.append(item_id)
+        if skip:
+            return None
+        rows = [(session_id, item, place + 1) for place, item in enumerate(seen)]
+        evolving = self.history.sparkSession.createDataFrame(rows, "session_id long, item_id long, position int")
+        return scores(self.history, evolving, self.params)
+
+    def finish(self, session_id: int, now: int) -> None:
+        """Put a finished session into the history, at the time of now."""
+        rows = [(session_id, item) for item in self.clicks.pop(session_id, [])]
+        if rows:
+            self.history = extended(self.history, self.history.sparkSession.createDataFrame(rows, "session_id long, item_id long"), now)
+
+
 def extended(history: DataFrame, finished: DataFrame, now: int) -> DataFrame:
     """History with finished sessions in it, all at the time of now."""
     return history.select("session_id", "item_id", "ord").unionByName(finished.select("session_id", "item_id", F.lit(now).cast("bigint").alias("ord")))

@@ -643,11 +643,164 @@ def _(spark, d):
     return readers.first_interactions(tables.interactions(spark, d), 30, "item_id")
 
 
+# Deltas of results, and how many keys change
+
+
+_GONE_CLICKS = "WHERE (session_id * 31 + item_id * 17) % 1000 <> 7"
+
+
+def _between(old: str, new: str) -> str:
+    """SQL: the changelog from the rows of one query to those of another."""
+    return f"SELECT *, 1::BIGINT AS diff FROM (({new}) EXCEPT ({old})) UNION ALL SELECT *, -1::BIGINT AS diff FROM (({old}) EXCEPT ({new}))"
+
+
+def _scored(history: str) -> str:
+    return f"WITH {S.sessions(SESSIONS.m, SESSIONS.k, history=history)} {_SCORES}"
+
+
+@query("vs_score_deltas", _between(_scored(S.WHOLE), _scored(_EDIT.format(_GONE_CLICKS))))
+def _(spark, d):
+    history, evolving, total = _history(spark, d), tables.evolving(spark, d), _total(spark, d)
+    state = inc.SessionState.build(history, evolving, SESSIONS, total)
+    new, affected = inc.update_session_state(state, C.deletions(history.filter("(session_id * 31 + item_id * 17) % 1000 = 7")), SESSIONS, total)
+    return C.delta(*(_rounded(x.result.join(affected, "session_id", "left_semi")) for x in (state, new)))
+
+
+@query("vs_changed_sessions", f"SELECT count(DISTINCT session_id) AS n_changed FROM ({_between(_scored(S.WHOLE), _scored(_EDIT.format(_GONE_CLICKS)))})")
+def _(spark, d):
+    return QUERIES["vs_score_deltas"](spark, d).agg(F.countDistinct("session_id").alias("n_changed"))
+
+
+def _vectors_sql(baskets: str = "b AS (SELECT * FROM all_baskets)") -> str:
+    return f"WITH {S.tifu(baskets)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec"
+
+
+@query("tifu_changed_users", f"SELECT DISTINCT user_id FROM ({_between(_vectors_sql(), _vectors_sql(_DELETED))})")
+def _(spark, d, users=TENTH):
+    baskets = tables.baskets(spark, d)
+    state = inc.BasketState.build(baskets, _queries(baskets, users), SHOP)
+    new, affected = inc.update_basket_state(state, _queries(baskets, users), SHOP, gone=baskets.filter("user_id % 5 = 0 AND basket_no = 2"))
+    delta = C.delta(*(_vector(x.result.join(affected, "user_id", "left_semi")) for x in (state, new)))
+    return delta.select("user_id").distinct()
+
+
+# Vectors cut to fixed point
+
+
+_CUT = "floor(value * 1e15) / 1e15 AS value"
+
+
+@query(
+    "tifu_recommend_discrete",
+    f"""WITH {S.tifu().replace("gv AS (", "gv0 AS (").replace("last_grp AS", f"gv AS (SELECT user_id, grp, item_id, {_CUT} FROM gv0), last_grp AS").replace("uv AS (", "uv0 AS (")},
+    uv AS (SELECT user_id, item_id, {_CUT} FROM uv0), {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} (SELECT user_id, item_id, {_CUT} FROM rec)""",
+)
+def _(spark, d, users=TENTH):
+    baskets = tables.baskets(spark, d)
+    return _vector(bm.recommend(baskets, _queries(baskets, users), SHOP, discrete=True))
+
+
+# Options of the refitted models
+
+
+def _options(sample: str = "last DESC, hist_id", similarity: str = "similarity", part: str = "n.similarity / n.step", join: str = "", where: str = "") -> str:
+    sql = _REFIT.replace("ORDER BY last DESC, hist_id", f"ORDER BY {sample}")
+    sql = sql.replace("near AS (SELECT * FROM sampled", f"near AS (SELECT * FROM (SELECT * REPLACE ({similarity} AS similarity) FROM sampled)")
+    sql = sql.replace("sum(n.similarity / n.step)", f"sum({part})").replace("WHERE h.item_id <> c.current", f"{join} WHERE h.item_id <> c.current {where}")
+    return f"{sql} SELECT session_id, item_id, round(score / max(score) OVER (PARTITION BY session_id) + 3e-10, 6) AS score FROM raw"
+
+
+def _refit(name: str, sql: str, params: RefitParams, now: int | None = None) -> None:
+    query(name, sql)(lambda spark, d: _rounded(rs.scores(_history(spark, d), tables.evolving(spark, d), params, now)))
+
+
+NOW = 1_009_843_200
+_IDF = "JOIN (SELECT item_id, ln((SELECT count(DISTINCT session_id) FROM base_history)::DOUBLE / count(*)) AS idf FROM base_history GROUP BY item_id) i ON i.item_id = h.item_id"
+_refit("base_vsknn_slice", _options("hist_id"), RefitParams(k=10, sample_size=50, sampling="slice"))
+_refit("base_vsknn_day_decay", _options(similarity=f"similarity * pow(7.0 / 8.0, round(({NOW} - last) / 86400))"), RefitParams(k=10, sample_size=50, weighting_time=True), NOW)
+_refit("base_vsknn_idf", _options(part="n.similarity / n.step * (1 + i.idf * 2)", join=_IDF), RefitParams(k=10, sample_size=50, idf_weighting=2.0))
+_refit(
+    "base_vsknn_no_reminders",
+    _options(where="AND NOT EXISTS (SELECT 1 FROM evolving x WHERE x.session_id = n.session_id AND x.item_id = h.item_id)"),
+    RefitParams(k=10, sample_size=50, remind=False),
+)
+
+
+@query(
+    "base_lookups",
+    f"""WITH {S.CLICKS} SELECT DISTINCT 'items' AS kind, session_id, item_id FROM base_history WHERE session_id % 50 = 1
+    UNION ALL SELECT DISTINCT 'sessions', session_id, item_id FROM base_history WHERE item_id % 50 = 1""",
+)
+def _(spark, d):
+    history = _history(spark, d)
+    items, sessions = rs.items_of_sessions(history, history.filter("session_id % 50 = 1")), rs.sessions_of_items(history, history.filter("item_id % 50 = 1"))
+    return items.select(F.lit("items").alias("kind"), "session_id", "item_id").unionByName(sessions.select(F.lit("sessions").alias("kind"), "session_id", "item_id"))
+
+
+@query(
+    "base_weighted_futures",
+    f"""WITH {_EUCLID.replace("b AS (SELECT * FROM all_baskets)", _FUTURE)}, inv AS (SELECT *, CASE WHEN distance = 0 THEN 0 ELSE 1 / distance END AS v FROM en),
+    e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY user_id)) AS e FROM inv), w AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id) AS w FROM e)
+    SELECT w.user_id, f.item_id, round(sum(CASE WHEN w.w = 0 THEN 1 ELSE w.w END), 4) AS value FROM w JOIN fut f ON f.user_id = w.other_id GROUP BY w.user_id, f.item_id""",
+)
+def _(spark, d, users=FIFTIETH):
+    past, future = _past_and_future(spark, d)
+    vectors = rb.grouped_history(past, 7, 0.9, 0.7)
+    rows = rb.weighted_futures(rb.euclidean_neighbours(vectors.filter(users), vectors, 15), future)
+    return rows.select("user_id", "item_id", F.round("value", 4).alias("value"))
+
+
+# Measures of twenty places, and against an ideal of all true items
+
+
+_AT_20 = _EVAL.replace("rank <= 10", "rank <= 20").replace("least(10,", "least(20,")
+
+
+@query(
+    "metrics_summary_20",
+    f"""WITH {_AT_20}, pr AS (SELECT *, n_hit::DOUBLE / n_shown AS p, n_hit::DOUBLE / n_true AS r FROM m)
+    SELECT round(avg(p) + 3e-10, 6) AS precision, round(avg(r) + 3e-10, 6) AS recall, round(avg(CASE WHEN n_hit > 0 THEN 2 * p * r / (p + r) ELSE 0 END) + 3e-10, 6) AS f1, round(avg(ndcg) + 3e-10, 6) AS ndcg,
+    round(count(*) FILTER (n_hit > 0)::DOUBLE / (SELECT count(*) FROM pu) + 3e-10, 6) AS hit_ratio FROM pr""",
+)
+def _(spark, d, users=TENTH):
+    rows = mm.summary(*_evaluated(spark, d, users), 20)
+    return rows.select(*(six(c) for c in rows.columns))
+
+
+@query("metrics_ndcg_full", f"WITH {_EVAL.replace('h.rank <= least(10, nt.n_true)', 'h.rank <= 10').replace('range(1, least(10, nt.n_true) + 1)', 'range(1, nt.n_true + 1)')} SELECT user_id, round(ndcg + 3e-10, 6) AS ndcg FROM m")
+def _(spark, d, users=TENTH):
+    return mm.ndcg(*_evaluated(spark, d, users), 10, "full").select("user_id", six("ndcg"))
+
+
+# Codes in the order of first sight
+
+
+_SEEN = "seen AS (SELECT item_id, (row_number() OVER (ORDER BY min(seq)) - 1)::BIGINT AS code FROM (SELECT l_partkey AS item_id, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS seq FROM lineitem) GROUP BY item_id)"
+
+
+def _first_seen(spark, d) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("item_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("seq"))
+    return prep.first_seen_codes(rows)
+
+
+@query("prep_first_seen_codes", f"WITH {_SEEN} SELECT item_id, code FROM seen")
+def _(spark, d):
+    return _first_seen(spark, d)
+
+
+@query("prep_encoded_baskets", f"WITH {S.BASKETS}, {_SEEN} SELECT user_id, basket_no::INT AS basket_no, string_agg(code::VARCHAR, ',' ORDER BY code) AS items FROM all_baskets JOIN seen USING (item_id) GROUP BY user_id, basket_no")
+def _(spark, d):
+    raw = tables.baskets(spark, d).select("user_id", "basket_no", F.explode("items").alias("item_id"))
+    rows = readers.encoded_baskets(raw, _first_seen(spark, d))
+    return rows.select("user_id", "basket_no", _listed(rows, "items"))
+
+
 # The same with all users as queries
 
 for _name in (
     "tifu_neighbors_exact", "tifu_recommend", "tifu_delete_baskets", "tifu_add_baskets", "lsh_candidates", "tifu_recommend_lsh",
     "metrics_ndcg", "metrics_prf", "metrics_hit", "metrics_summary",
-    "base_tifu_knn_euclid", "base_tifu_merge", "base_tifu_merge_future", "base_neighbor_frequency",
+    "base_tifu_knn_euclid", "base_tifu_merge", "base_tifu_merge_future", "base_neighbor_frequency", "base_weighted_futures",
+    "tifu_changed_users", "tifu_recommend_discrete", "metrics_summary_20", "metrics_ndcg_full",
 ):
     for_all(f"{_name}_all", _name)

@@ -41,6 +41,16 @@ def parse_baskets(rows: DataFrame, offset: int = 1) -> DataFrame:
     return rows.groupBy("user_id", "basket_no").agg(items.alias("items"))
 
 
+def encoded_baskets(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """``user_id, basket_no, items``: the sorted distinct codes of each basket's items, numbered by user without gaps.
+
+    ``rows`` has ``user_id, basket_no, item_id``, ``codes`` has ``item_id, code``; items without a code are left out.
+    """
+    grouped = rows.join(codes, "item_id").groupBy("user_id", "basket_no").agg(F.sort_array(F.collect_set("code")).alias("items"))
+    number = F.row_number().over(W.partitionBy("user_id").orderBy("basket_no"))
+    return grouped.select("user_id", number.alias("basket_no"), "items")
+
+
 def number_of_items(rows: DataFrame) -> DataFrame:
     return rows.agg(F.max("raw_item").alias("num_items"))
 

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.functions.held import held
+from palimpsest.operators.baskets import BasketParams
+from palimpsest.operators.sessions import SessionParams
 from palimpsest.plans import changes as C
+from palimpsest.plans.incremental import BasketState, SessionState, update_basket_state, update_session_state
 
 
 class Snapshots:
@@ -88,3 +92,36 @@ def click_step(model: Callable[[DataFrame], DataFrame]) -> Callable[[Snapshots,
         return {"clicks": clicks, "result": result, "delta": C.delta(snapshots.read("result"), result)}
 
     return step
+
+
+def session_step(params: SessionParams, n_total: int) -> Callable[[Snapshots, DataFrame], dict[str, DataFrame]]:
+    """A step over changes of clicks ``session_id, item_id, ord, diff`` that computes only what they reach.
+
+    The snapshot has all tables of a ``SessionState``; changes of one batch count at once, whatever their order.
+    """
+
+    def step(snapshots: Snapshots, batch: DataFrame) -> dict[str, DataFrame]:
+        state = SessionState(*(snapshots.read(name) for name in SessionState.__dataclass_fields__))
+        new, affected = update_session_state(state, batch, params, n_total)
+        old, again = (x.result.join(affected, "session_id", "left_semi").select(*x.result.columns) for x in (state, new))
+        return vars(new) | {"delta": C.delta(old, again)}
+
+    return step
+
+
+def recommendation_step(queries: Callable[[DataFrame], DataFrame], params: BasketParams) -> Callable[[Snapshots, DataFrame], dict[str, DataFrame]]:
+    """A step over basket events that computes only what they reach; the snapshot has all tables of a ``BasketState``.
+
+    Of a batch, deletions go first, each naming a basket by its number in the snapshot; insertions follow, in the order of
+    their own numbers, and an event that a batch has twice counts once. ``queries`` gives the query users of the baskets.
+    """
+
+    def step(snapshots: Snapshots, events: DataFrame) -> dict[str, DataFrame]:
+        state = BasketState(*(snapshots.read(name) for name in BasketState.__dataclass_fields__))
+        rows = events.select(F.col("customerId").alias("user_id"), F.col("orderId").alias("basket_no"), F.col("basket").alias("items"), "isDeletion").distinct()
+        gone, more = held(rows.filter("isDeletion").drop("isDeletion")), held(rows.filter("NOT isDeletion").drop("isDeletion"))
+        new, affected = update_basket_state(state, queries(state.baskets), params, gone, more)
+        old, again = (x.result.join(affected, "user_id", "left_semi").select(*x.result.columns) for x in (state, new))
+        return vars(new) | {"delta": C.delta(old, again)}
+
+    return step
