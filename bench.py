@@ -24,27 +24,56 @@ def run(df) -> float:
 
 
 def updates(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """Seconds to recompute all scores, and to update them after 1, 10 and 100 forgotten clicks, with how many sessions changed."""
-    from palimpsest.operators import sessions as sm
+    """Seconds to compute all results, and to have those that 1, 10 and 100 changes reach, with how many keys they are."""
+    from palimpsest.functions.held import held
     from palimpsest.plans import changes as C
     from palimpsest.plans import incremental as inc
-    from palimpsest.plans.queries import SESSIONS
+    from palimpsest.plans.queries import SESSIONS, SHOP
     from palimpsest.sources import tables
 
     history, evolving = tables.history(spark, sf_dir).persist(), tables.evolving(spark, sf_dir).persist()
-    total = history.count()
-    evolving.count()
-    out = {"full": run(sm.model(history, evolving, SESSIONS, total))}  # before anything of it is kept
-    state = inc.SessionState.build(history, evolving, SESSIONS, total).persisted()
-    for df in (evolving, state.pairs, state.index, state.idf, state.result):
+    interactions, baskets = tables.interactions(spark, sf_dir).persist(), tables.baskets(spark, sf_dir).persist()
+    total, users = history.count(), held(baskets.select("user_id").distinct().filter("user_id % 20 = 0"))
+    for df in (evolving, interactions):
         df.count()
-    for n in (1, 10, 100):
-        gone = C.deletions(history.orderBy("session_id", "item_id", "ord").limit(n)).persist()
-        began = time.perf_counter()
-        new, affected = inc.update_session_state(state, gone, SESSIONS, total)
-        run(new.result)
-        out[f"update_{n}"] = time.perf_counter() - began
-        out[f"affected_{n}"] = affected.count()
+    out = {
+        "sessions_full": run(inc.SessionState.build(history, evolving, SESSIONS, total).result),
+        "items_full": run(inc.ItemState.build(interactions).result),
+        "baskets_full": run(inc.BasketState.build(baskets, users, SHOP).result),
+    }
+    sessions, items, shop = inc.SessionState.build(history, evolving, SESSIONS, total).saved(), inc.ItemState.build(interactions).saved(), inc.BasketState.build(baskets, users, SHOP).saved()
+    gone_users = interactions.select("user_id").distinct().orderBy("user_id")
+    steps = {
+        "sessions": lambda n: inc.update_session_state(sessions, C.deletions(history.orderBy("session_id", "item_id", "ord").limit(n)), SESSIONS, total),
+        "items": lambda n: inc.update_item_state(items, C.forget_users(interactions, gone_users.limit(n))),
+        "baskets": lambda n: inc.update_basket_state(shop, users, SHOP, gone=baskets.filter("basket_no = 1").orderBy("user_id").limit(n)),
+    }
+    for name, step in steps.items():
+        for n in (1, 10, 100):
+            began = time.perf_counter()
+            new, affected = step(n)
+            key = affected.withColumnRenamed("item_id", "item_a")
+            held(new.result.join(key, key.columns, "left_semi"))
+            out[f"{name}_{n}"] = time.perf_counter() - began
+            out[f"{name}_{n}_keys"] = affected.count()
+    return out
+
+
+def workloads(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Mean microseconds of the measurement protocols, on grids scaled down: two steps of each."""
+    from statistics import mean
+
+    from palimpsest.plans import workloads as w
+    from palimpsest.plans.queries import SESSIONS, SHOP
+    from palimpsest.sources import tables
+
+    history, evolving, baskets = (f(spark, sf_dir).persist() for f in (tables.history, tables.evolving, tables.baskets))
+    out = {}
+    for kind in ("deletion", "insertion", "mixed"):
+        out[f"vs_{kind}"] = mean(r["latency"] for r in w.click_changes(kind, history, evolving, SESSIONS, 20, 10, 100, w.SEEDS[0], steps=2))
+        out[f"tifu_{kind}"] = mean(r["latency"] for r in w.basket_changes(kind, baskets, SHOP, 20, 10, 100, w.SEEDS[0], steps=2))
+    out["vs_refit"] = mean(r["latency"] for r in w.session_refits(history, evolving, 100, 2))
+    out["tifu_refit"] = mean(r["latency"] for r in w.basket_refits(baskets, 100, 2, k=20))
     return out
 
 
@@ -65,7 +94,8 @@ def main() -> None:
     run(QUERIES["ib_user_counts"](spark, sf_dir))  # compiles and warms up
     seconds = {name: round(run(QUERIES[name](spark, sf_dir)), 3) for name in HEADLINE}
     changes = {k: round(v, 3) for k, v in updates(spark, sf_dir).items()}
-    print(json.dumps({"metric": "headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "updates": changes, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    protocols = {k: round(v) for k, v in workloads(spark, sf_dir).items()}
+    print(json.dumps({"metric": "headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "updates": changes, "workloads_micros": protocols, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

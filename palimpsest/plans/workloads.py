@@ -1,7 +1,8 @@
 """Measurement protocols: how long a model takes to follow changes, against computing it again, and how many keys change.
 
-Each gives rows of one kind, which ``writers.write_measurements`` puts into a file. Latencies are in microseconds. The grids
-of the full protocols are fixed values; a caller scales them to its data.
+Each gives rows of one kind, which ``writers.write_measurements`` puts into a file. Latencies are in microseconds, from a
+batch of changes to the new results of all keys that it reaches; ``settling`` is the time to write the new state after that,
+so that plans don't grow. The grids of the full protocols are fixed values; a caller scales them to its data.
 """
 
 from __future__ import annotations
@@ -45,6 +46,17 @@ def _since(began: float) -> int:
     return round((time.perf_counter() - began) * 1e6)
 
 
+def _answered(result: DataFrame, affected: DataFrame, began: float) -> int:
+    """Microseconds until the new results of affected keys are there."""
+    held(result.join(affected, affected.columns, "left_semi"))
+    return _since(began)
+
+
+def _settled(state):
+    began = time.perf_counter()
+    return state.saved(), _since(began)
+
+
 def _lot(seed: int, *key: str):
     return F.xxhash64(*key, F.lit(seed))
 
@@ -91,8 +103,9 @@ def click_changes(kind: str, history: DataFrame, evolving: DataFrame, params: Se
             break
         began = time.perf_counter()
         state, affected = inc.update_session_state(state, part, params, total)
-        state = state.saved()
-        yield {"model": "vs", "experiment": kind, "seed": seed, "batch": batch, "active": sessions, "latency": _since(began), "changes": affected.count()}
+        latency, reached = _answered(state.result, affected, began), affected.count()
+        state, settling = _settled(state)
+        yield {"model": "vs", "experiment": kind, "seed": seed, "batch": batch, "active": sessions, "latency": latency, "changes": reached, "settling": settling}
 
 
 def basket_changes(kind: str, baskets: DataFrame, params: BasketParams, changed: int, batch: int, users: int, seed: int, steps: int | None = None) -> Iterator[dict]:
@@ -119,8 +132,9 @@ def basket_changes(kind: str, baskets: DataFrame, params: BasketParams, changed:
             break
         began = time.perf_counter()
         state, affected = inc.update_basket_state(state, queries, params, *part)
-        state = state.saved()
-        yield {"model": "tifu", "experiment": kind, "queries": users, "seed": seed, "batch": batch, "latency": _since(began), "updates": affected.count()}
+        latency, updates = _answered(state.result, affected, began), affected.count()
+        state, settling = _settled(state)
+        yield {"model": "tifu", "experiment": kind, "queries": users, "seed": seed, "batch": batch, "latency": latency, "updates": updates, "settling": settling}
 
 
 def batched_sessions(history: DataFrame, evolving: DataFrame, params: SessionParams, sessions: int, deletions: int, seed: int = 42, lengths=PREFIX_LENGTHS) -> Iterator[dict]:
@@ -137,9 +151,10 @@ def batched_sessions(history: DataFrame, evolving: DataFrame, params: SessionPar
                 chosen = state.history.select("session_id").distinct().orderBy(_lot(seed + length, "session_id"), "session_id").limit(deletions)
                 gone = state.history.join(held(chosen), "session_id", "left_semi").select(*history.columns)
             began = time.perf_counter()
-            state, _ = inc.update_session_state(state, held(C.deletions(gone)), params, total, clicks)
-            state = state.saved()
-            yield {"batch": int(batch), "session_length": length, "latency_in_micros": _since(began)}
+            state, affected = inc.update_session_state(state, held(C.deletions(gone)), params, total, clicks)
+            latency = _answered(state.result, affected, began)
+            state, _ = _settled(state)
+            yield {"batch": int(batch), "session_length": length, "latency_in_micros": latency}
 
 
 def prefix_replay(history: DataFrame, evolving: DataFrame, params: SessionParams, lengths=PREFIX_LENGTHS) -> Iterator[dict]:
@@ -157,8 +172,8 @@ def forgotten_users(interactions: DataFrame, users: int, seed: int = 42) -> Iter
     yield {"model": "itembased", "step": "train", "latency": timed(im.similarities(interactions))}
     state = inc.ItemState.build(interactions).saved()
     began = time.perf_counter()
-    state, _ = inc.update_item_state(state, gone)
-    state.saved()
+    state, items = inc.update_item_state(state, gone)
+    held(state.result.join(items.withColumnRenamed("item_id", "item_a"), "item_a", "left_semi"))
     yield {"model": "itembased", "step": "forget", "latency": _since(began)}
 
 
