@@ -48,6 +48,8 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("pieces of this model cross word markers; encode whole texts instead")
         self.marker = self.model.piece_to_id(MARK)
+        #: Ids are kept in two bytes if they fit.
+        self.kept_as = np.int16 if len(pieces) <= 1 << 15 else np.int32
         #: Which pieces begin with a marker, and which are nothing but markers.
         self.opens = np.array([p.startswith(MARK) for p in pieces])
         self.blank = np.array([not p.strip(MARK) for p in pieces])
@@ -154,7 +156,7 @@ def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataF
     blocks = B.cut(rows, BLOCK_BYTES).select("block", "blob")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
                 dealt = _dealt((_chunks(x or "") for x in B.unpack(blob.as_buffer())["text"].to_pylist()), buckets)
@@ -166,7 +168,7 @@ def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataF
                 released()
 
     def reply(asked: pa.Table) -> pa.Table:
-        press, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press, opened = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         pieces, table = loaded(model_file), {}
         sizes, ids, other = [], [], []
         for packed in asked["chunks"].to_pylist():
@@ -174,7 +176,7 @@ def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataF
             table |= pieces.read([c for c in chunks if c not in table])
             said = [table[c] for c in chunks]
             sizes.append(press.compress(np.array([len(x) for x, _ in said], np.int32).tobytes()))
-            ids.append(press.compress(np.fromiter(chain.from_iterable(x for x, _ in said), np.int32).tobytes()))
+            ids.append(press.compress(np.fromiter(chain.from_iterable(x for x, _ in said), pieces.kept_as).tobytes()))
             other.append([{"at": at, "text": text} for at, (_, text) in enumerate(said) if text != chunks[at]])
         columns = [asked["block"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary()), pa.array(other, pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))]
         return pa.table(columns, names=["block", "bucket", "sizes", "ids", "other"])
@@ -185,7 +187,7 @@ def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataF
         dealt = _dealt((chunks for _, each in texts for chunks in each), buckets)
         table: dict[str, tuple[Sequence[int], str]] = {}
         for bucket, sizes, ids, other in zip(*(said[c].to_pylist() for c in ("bucket", "sizes", "ids", "other")), strict=True):
-            ids = np.frombuffer(opened.decompress(ids), np.int32).tolist()
+            ids = np.frombuffer(opened.decompress(ids), pieces.kept_as).tolist()
             ends = np.cumsum(np.frombuffer(opened.decompress(sizes), np.int32)).tolist()
             chunks, new = dealt[bucket], {x["at"]: x["text"] for x in other}
             table |= {c: (ids[lo:hi], new.get(at, c)) for at, (c, lo, hi) in enumerate(zip(chunks, [0, *ends[:-1]], ends, strict=True))}
@@ -218,9 +220,9 @@ def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataF
 
 
 def _dealt(texts: Iterable[list[str]], buckets: int) -> dict[int, list[str]]:
-    """Distinct chunks of texts, but for markers at their ends, by bucket; in order of first sight."""
+    """Distinct chunks of texts, but for markers at their ends, by bucket; in order, in which they and their ids pack well."""
     out: dict[int, list[str]] = {}
-    for chunk in dict.fromkeys(chain.from_iterable(texts)):
+    for chunk in sorted(set(chain.from_iterable(texts))):
         if chunk[-1] != " ":
             out.setdefault(zlib.crc32(chunk.encode()) % buckets, []).append(chunk)
     return out
