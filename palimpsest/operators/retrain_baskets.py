@@ -84,8 +84,8 @@ def future_vectors(future: DataFrame, step: int = 1) -> DataFrame:
 
 
 def weighted_futures(near: DataFrame, future: DataFrame, step: int = 1) -> DataFrame:
-    """Neighbours' future items, weighed by the softmax of inverse distances; a distance of 0 counts as an inverse of 0."""
-    inverse = F.when(F.col("distance") == 0, 0.0).otherwise(1 / F.col("distance"))
+    """Neighbours' future items, weighed by the softmax of inverse distances; a distance of 0, to six digits, counts as an inverse of 0."""
+    inverse = F.when(F.round("distance", 6) == 0, 0.0).otherwise(1 / F.col("distance"))
     weight = softmax(inverse, W.partitionBy("user_id"))
     weighed = near.withColumn("_w", F.when(weight == 0, 1.0).otherwise(weight))
     theirs = weighed.join(future_vectors(future, step).select(F.col("user_id").alias("other_id"), "item_id"), "other_id")

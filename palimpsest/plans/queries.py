@@ -739,7 +739,7 @@ def _(spark, d):
 
 @query(
     "base_weighted_futures",
-    f"""WITH {_EUCLID.replace("b AS (SELECT * FROM all_baskets)", _FUTURE)}, inv AS (SELECT *, CASE WHEN distance = 0 THEN 0 ELSE 1 / distance END AS v FROM en),
+    f"""WITH {_EUCLID.replace("b AS (SELECT * FROM all_baskets)", _FUTURE)}, inv AS (SELECT *, CASE WHEN round(distance, 6) = 0 THEN 0 ELSE 1 / distance END AS v FROM en),
     e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY user_id)) AS e FROM inv), w AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id) AS w FROM e)
     SELECT w.user_id, f.item_id, round(sum(CASE WHEN w.w = 0 THEN 1 ELSE w.w END), 4) AS value FROM w JOIN fut f ON f.user_id = w.other_id GROUP BY w.user_id, f.item_id""",
 )
