@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.fixed import fixed
-from palimpsest.functions.held import ranked
+from palimpsest.functions.held import ranked, stored
+from palimpsest.functions.packed import nearest, with_neighbours
 from palimpsest.functions.similarity import softmax
 from palimpsest.operators.baskets import added, scaled
 
@@ -52,30 +52,10 @@ def grouped_history(baskets: DataFrame, groups: int, within: float, between: flo
 def euclidean_neighbours(queries: DataFrame, training: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """``user_id, other_id, distance``: the k nearest training vectors of each query vector, itself included if it is there.
 
-    Distances come from squared norms and an inverted-index dot product; no pairs of all users are made. Values aren't
-    negative, so whoever shares no item with a query is no nearer than anyone of less norm: of these, the k of least norm
-    are enough.
+    Pairs are made inside tasks (see ``packed``). Values aren't negative, so whoever shares no item with a query is no nearer
+    than anyone of less norm: of these, the k of least norm are enough.
     """
-    norms = training.groupBy("user_id").agg(F.sum(F.col("value") * F.col("value")).alias("norm"))
-    own = queries.groupBy("user_id").agg(F.sum(F.col("value") * F.col("value")).alias("own"))
-    left = queries.select("user_id", "item_id", F.col("value").alias("q"))
-    right = training.select(F.col("user_id").alias("other_id"), "item_id", F.col("value").alias("t"))
-    dots = left.join(right, "item_id").groupBy("user_id", "other_id").agg(F.sum(F.col("q") * F.col("t")).alias("dot"))
-    least = norms.orderBy(fixed(F.col("norm"), digits), "user_id").limit(k).select(F.col("user_id").alias("other_id"))
-    apart = own.select("user_id").crossJoin(F.broadcast(least)).withColumn("dot", F.lit(0.0))
-    pairs = dots.unionByName(apart).groupBy("user_id", "other_id").agg(F.sum("dot").alias("dot"))
-    square = F.col("own") + F.col("norm") - 2 * F.col("dot")
-    joined = pairs.join(own, "user_id").join(norms.withColumnRenamed("user_id", "other_id"), "other_id")
-    rows = joined.withColumn("distance", F.sqrt(F.greatest(square, F.lit(0.0))))
-    order = W.partitionBy("user_id").orderBy(fixed(F.col("distance"), digits), "other_id")
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select("user_id", "other_id", "distance")
-
-
-def neighbour_mean(near: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``user_id, item_id, value``: the mean of the neighbours' vectors."""
-    counted = near.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("user_id")))
-    theirs = counted.join(vectors.select(F.col("user_id").alias("other_id"), "item_id", "value"), "other_id")
-    return theirs.groupBy("user_id", "item_id").agg((F.sum("value") / F.max("_n")).alias("value"))
+    return nearest(queries, training, k, "distance", digits)
 
 
 def future_vectors(future: DataFrame, step: int = 1) -> DataFrame:
@@ -99,12 +79,12 @@ def most_frequent(near: DataFrame, future: DataFrame, step: int = 1) -> DataFram
 
 
 def merge_history(queries: DataFrame, training: DataFrame, near: DataFrame, alpha: float) -> DataFrame:
-    return added(scaled(queries, alpha), scaled(neighbour_mean(near, training), 1 - alpha))
+    return with_neighbours(queries, training, near, alpha, 1 - alpha)
 
 
 def merge_history_and_future(queries: DataFrame, training: DataFrame, near: DataFrame, future: DataFrame, alpha: float, beta: float) -> DataFrame:
-    past = scaled(merge_history(queries, training, near, alpha), beta)
-    return added(past, scaled(neighbour_mean(near, future_vectors(future)), 1 - beta))
+    theirs = added(scaled(training, beta * (1 - alpha)), scaled(future_vectors(future), 1 - beta))
+    return with_neighbours(queries, stored(theirs), near, alpha * beta, 1.0)
 
 
 def own_elements(vectors: DataFrame) -> DataFrame:
