@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.decays import POSITION_WEIGHTS, SCORE_DECAYS
+from palimpsest.functions.held import stored
 from palimpsest.functions.similarity import SIMILARITIES, softmax
 from palimpsest.operators import baskets as bm
 from palimpsest.operators import items as im
@@ -277,14 +278,13 @@ def _(spark, d):
 
 @query("tifu_neighbors_exact", f"WITH {S.tifu()}, {S.nearest(SHOP.k)} SELECT user_id, other_id, jaccard FROM nn")
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
-    sets = baskets.select("user_id", F.explode("items").alias("item_id")).distinct()
-    return bm.neighbours(bm.overlaps(sets, _queries(baskets, users)), SHOP.k)
+    sets = stored(_sets(spark, d))
+    return bm.exact_neighbours(sets, _queries(sets, users), SHOP.k)
 
 
 @query("tifu_recommend", f"WITH {S.tifu()}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
+    baskets = stored(tables.baskets(spark, d))
     return _vector(bm.recommend(baskets, _queries(baskets, users), SHOP))
 
 
@@ -294,7 +294,7 @@ b AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY basket_no
 
 @query("tifu_delete_baskets", f"WITH {S.tifu(_DELETED)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
+    baskets = stored(tables.baskets(spark, d))
     return _vector(inc.update_baskets(baskets, _queries(baskets, users), SHOP, gone=baskets.filter("user_id % 5 = 0 AND basket_no = 2")).result)
 
 
@@ -304,7 +304,7 @@ b AS (SELECT user_id, basket_no, item_id FROM all_baskets UNION ALL SELECT a.use
 
 @query("tifu_add_baskets", f"WITH {S.tifu(_ADDED)}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} rec")
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
+    baskets = stored(tables.baskets(spark, d))
     return _vector(inc.update_baskets(baskets, _queries(baskets, users), SHOP, more=baskets.filter("user_id % 7 = 0 AND basket_no = 1")).result)
 
 
@@ -339,11 +339,11 @@ def _(spark, d, users=TENTH):
     f"WITH {_LSH}, {_CANDIDATES}, {S.nearest(SHOP.k, candidates='JOIN cand c ON c.user_id = t.user_id AND c.other_id = t.other_id')}, {S.merged(SHOP.alpha)} {_VALUES} rec",
 )
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
-    vectors = bm.user_vectors(baskets, SHOP)
+    baskets = stored(tables.baskets(spark, d))
+    vectors = stored(bm.user_vectors(baskets, SHOP))
     sets = vectors.select("user_id", "item_id")
     found = bm.lsh_candidates(sets, _queries(sets, users), SHOP.permutations, N_BANDS, BAND_ROWS, SHOP.seed)
-    return _vector(bm.merged(vectors, bm.neighbours(bm.overlaps(sets, _queries(sets, users), found), SHOP.k), SHOP.alpha))
+    return _vector(bm.merged(vectors, stored(bm.neighbours(bm.overlaps(sets, _queries(sets, users), found), SHOP.k)), SHOP.alpha))
 
 
 # Changes
@@ -372,11 +372,11 @@ def _(spark, d):
 
 
 def _evaluated(spark, d, users: str = TENTH) -> tuple[DataFrame, DataFrame]:
-    baskets = tables.baskets(spark, d)
+    baskets = stored(tables.baskets(spark, d))
     numbered = baskets.withColumn("last", F.max("basket_no").over(W.partitionBy("user_id")))
     past = numbered.filter("basket_no < last").drop("last")
     truth = numbered.filter("basket_no = last").select("user_id", F.explode("items").alias("item_id")).distinct()
-    return bm.top_items(bm.recommend(past, _queries(past, users), SHOP), 20), truth
+    return bm.recommend_top(past, _queries(past, users), SHOP, 20), truth
 
 
 _EVAL = f"""{S.tifu(S.split_baskets())}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)},
@@ -537,7 +537,7 @@ en AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY user_id ORDER
 
 @query("base_tifu_knn_euclid", f"WITH {_EUCLID} SELECT user_id, other_id, round(distance, 5) AS distance FROM en")
 def _(spark, d, users=FIFTIETH):
-    vectors = rb.grouped_history(tables.baskets(spark, d), 7, 0.9, 0.7)
+    vectors = stored(rb.grouped_history(tables.baskets(spark, d), 7, 0.9, 0.7))
     return rb.euclidean_neighbours(vectors.filter(users), vectors, 15).select("user_id", "other_id", F.round("distance", 5).alias("distance"))
 
 
@@ -546,9 +546,10 @@ def _(spark, d, users=FIFTIETH):
     f"WITH {_EUCLID} {_VALUES} (SELECT user_id, item_id, sum(value) AS value FROM (SELECT user_id, item_id, 0.7 * value AS value FROM q UNION ALL SELECT n.user_id, g.item_id, (1 - 0.7) * g.value / 15 FROM en n JOIN gh g ON g.user_id = n.other_id) GROUP BY user_id, item_id)",
 )
 def _(spark, d, users=FIFTIETH):
-    vectors = rb.grouped_history(tables.baskets(spark, d), 7, 0.9, 0.7)
+    vectors = stored(rb.grouped_history(tables.baskets(spark, d), 7, 0.9, 0.7))
     queries = vectors.filter(users)
-    return _vector(rb.merge_history(queries, vectors, rb.euclidean_neighbours(queries, vectors, 15), 0.7))
+    near = stored(rb.euclidean_neighbours(queries, vectors, 15))
+    return _vector(rb.merge_history(queries, vectors, near, 0.7))
 
 
 _FUTURE = """ends AS (SELECT user_id, max(basket_no) AS last FROM all_baskets GROUP BY user_id),
@@ -557,7 +558,7 @@ fut AS (SELECT DISTINCT a.user_id, a.item_id FROM all_baskets a JOIN ends e ON e
 
 
 def _past_and_future(spark, d):
-    numbered = tables.baskets(spark, d).withColumn("last", F.max("basket_no").over(W.partitionBy("user_id")))
+    numbered = stored(tables.baskets(spark, d)).withColumn("last", F.max("basket_no").over(W.partitionBy("user_id")))
     return numbered.filter("basket_no < last").drop("last"), numbered.filter("basket_no = last").select("user_id", F.lit(1).alias("basket_no"), "items")
 
 
@@ -569,17 +570,17 @@ def _past_and_future(spark, d):
 )
 def _(spark, d, users=FIFTIETH):
     past, future = _past_and_future(spark, d)
-    vectors = rb.grouped_history(past, 7, 0.9, 0.7)
+    vectors = stored(rb.grouped_history(past, 7, 0.9, 0.7))
     queries = vectors.filter(users)
-    near = rb.euclidean_neighbours(queries, vectors, 15)
+    near = stored(rb.euclidean_neighbours(queries, vectors, 15))
     return _vector(rb.merge_history_and_future(queries, vectors, near, future, 0.7, 0.6))
 
 
 @query("base_neighbor_frequency", f"""WITH {_EUCLID.replace("b AS (SELECT * FROM all_baskets)", _FUTURE)} SELECT n.user_id, f.item_id, count(*)::DOUBLE AS value FROM en n JOIN fut f ON f.user_id = n.other_id GROUP BY n.user_id, f.item_id""")
 def _(spark, d, users=FIFTIETH):
     past, future = _past_and_future(spark, d)
-    vectors = rb.grouped_history(past, 7, 0.9, 0.7)
-    return rb.most_frequent(rb.euclidean_neighbours(vectors.filter(users), vectors, 15), future)
+    vectors = stored(rb.grouped_history(past, 7, 0.9, 0.7))
+    return rb.most_frequent(stored(rb.euclidean_neighbours(vectors.filter(users), vectors, 15)), future)
 
 
 @query("base_softmax", f"WITH {S.tifu()}, x AS (SELECT *, exp(value - max(value) OVER (PARTITION BY user_id)) AS e FROM uv) SELECT user_id, item_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS value FROM x")
@@ -677,11 +678,8 @@ def _vectors_sql(baskets: str = "b AS (SELECT * FROM all_baskets)") -> str:
 
 @query("tifu_changed_users", f"SELECT DISTINCT user_id FROM ({_between(_vectors_sql(), _vectors_sql(_DELETED))})")
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
-    state = inc.BasketState.build(baskets, _queries(baskets, users), SHOP)
-    new, affected = inc.update_basket_state(state, _queries(baskets, users), SHOP, gone=baskets.filter("user_id % 5 = 0 AND basket_no = 2"))
-    delta = C.delta(*(_vector(x.result.join(affected, "user_id", "left_semi")) for x in (state, new)))
-    return delta.select("user_id").distinct()
+    baskets = stored(tables.baskets(spark, d))
+    return inc.changed_users(baskets, _queries(baskets, users), SHOP, _vector, gone=baskets.filter("user_id % 5 = 0 AND basket_no = 2"))
 
 
 # Vectors cut to fixed point
@@ -696,7 +694,7 @@ _CUT = "floor(value * 1e15) / 1e15 AS value"
     uv AS (SELECT user_id, item_id, {_CUT} FROM uv0), {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)} {_VALUES} (SELECT user_id, item_id, {_CUT} FROM rec)""",
 )
 def _(spark, d, users=TENTH):
-    baskets = tables.baskets(spark, d)
+    baskets = stored(tables.baskets(spark, d))
     return _vector(bm.recommend(baskets, _queries(baskets, users), SHOP, discrete=True))
 
 
@@ -745,8 +743,8 @@ def _(spark, d):
 )
 def _(spark, d, users=FIFTIETH):
     past, future = _past_and_future(spark, d)
-    vectors = rb.grouped_history(past, 7, 0.9, 0.7)
-    rows = rb.weighted_futures(rb.euclidean_neighbours(vectors.filter(users), vectors, 15), future)
+    vectors = stored(rb.grouped_history(past, 7, 0.9, 0.7))
+    rows = rb.weighted_futures(stored(rb.euclidean_neighbours(vectors.filter(users), vectors, 15)), future)
     return rows.select("user_id", "item_id", F.round("value", 4).alias("value"))
 
 
