@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.held import stored
+from palimpsest.functions.packed import sharing
+
 #: Users with this many interactions or more are left out, which also bounds the pairs that a user makes.
 MAX_INTERACTIONS = 500
 MIN_JACCARD = 0.05
@@ -33,9 +36,30 @@ def cooccurrences(interactions: DataFrame) -> DataFrame:
 
 
 def similarities(interactions: DataFrame, max_interactions: int = MAX_INTERACTIONS, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """``item_a, item_b, n_cooc, occ_a, occ_b, jaccard`` above the threshold."""
-    kept = active(interactions, max_interactions)
-    return with_jaccard(cooccurrences(kept), popularity(kept), min_jaccard)
+    """``item_a, item_b, n_cooc, occ_a, occ_b, jaccard`` above the threshold.
+
+    Items meet by users inside tasks (see ``packed``), so pairs below the threshold are never written.
+    """
+    rows = stored(active(interactions, max_interactions))
+    return similarities_of(rows, rows, min_jaccard)
+
+
+def similarities_of(some: DataFrame, interactions: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
+    """The same for pairs of an item of ``some`` interactions and any other; those of two such items are there twice unless all are."""
+    def counted(rows: DataFrame) -> DataFrame:
+        # Of items that users share: an item is what has a vector here.
+        rows = rows.filter("item_id IS NOT NULL").groupBy(F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id"))
+        return rows.agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+    every = stored(counted(interactions))
+    found = sharing(every if some is interactions else counted(some), every, min_jaccard)
+    first = F.col("user_id") > F.col("other_id")
+    sides = [F.when(first, F.col(a)).otherwise(F.col(b)) for a, b in (("user_id", "other_id"), ("other_id", "user_id"), ("own", "theirs"), ("theirs", "own"))]
+    names = ("item_a", "item_b", "occ_a", "occ_b")
+    rows = found.select("user_id", "other_id", F.col("shared").cast("long").alias("n_cooc"), "jaccard", *(x.cast("long").alias(n) for x, n in zip(sides, names, strict=True)))
+    if some is interactions:
+        rows = rows.filter("user_id > other_id")
+    return rows.select("item_a", "item_b", "n_cooc", "occ_a", "occ_b", "jaccard")
 
 
 def with_jaccard(pairs: DataFrame, counts: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:

@@ -101,7 +101,7 @@ def _(spark, d):
 
 @query("ib_forget_users", _jaccard_sql("SELECT * FROM interactions WHERE user_id % 50 <> 7"))
 def _(spark, d):
-    rows = tables.interactions(spark, d)
+    rows = stored(tables.interactions(spark, d))
     gone = C.forget_users(rows, rows.filter("user_id % 50 = 7"))
     return inc.update_items(rows, im.similarities(rows), gone).result
 

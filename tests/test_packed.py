@@ -4,9 +4,14 @@ import math
 import random
 
 import pytest
+from compare import duck_rows, rows
 
 from palimpsest.functions import packed
 from palimpsest.operators import baskets as bm
+from palimpsest.plans import incremental
+from palimpsest.plans.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
 
 
 def _vectors(n_users=40, n_items=25, seed=5):
@@ -60,3 +65,12 @@ def test_sums_over_neighbours(spark, sizes):
     assert {(r.user_id, r.item_id): r.value for r in found.collect()} == pytest.approx(want)
     top = packed.with_neighbours(None, rows, pairs, 0.7, 1 - 0.7, 3)
     assert {tuple(r) for r in top.collect()} == {tuple(r) for r in bm.top_items(found, 3).collect()}
+
+
+@pytest.mark.parametrize("name", ["ib_forget_users", "tifu_add_baskets", "tifu_changed_users_all"])
+def test_updates_that_reach_many(spark, monkeypatch, name):
+    monkeypatch.setattr(incremental, "FEW", 0)
+    monkeypatch.setattr(incremental.items_model, "cooccurrences", None)  # no pairs by a join
+    monkeypatch.setattr(incremental.baskets_model, "overlaps", None)
+    want = duck_rows(SQL[name], SF)
+    assert rows(QUERIES[name](spark, SF)) == want
