@@ -376,7 +376,7 @@ def _evaluated(spark, d, users: str = TENTH) -> tuple[DataFrame, DataFrame]:
     numbered = baskets.withColumn("last", F.max("basket_no").over(W.partitionBy("user_id")))
     past = numbered.filter("basket_no < last").drop("last")
     truth = numbered.filter("basket_no = last").select("user_id", F.explode("items").alias("item_id")).distinct()
-    return bm.recommend_top(past, _queries(past, users), SHOP, 20), truth
+    return stored(bm.recommend_top(past, _queries(past, users), SHOP, 20)), stored(truth)
 
 
 _EVAL = f"""{S.tifu(S.split_baskets())}, {S.nearest(SHOP.k)}, {S.merged(SHOP.alpha)},

@@ -67,6 +67,37 @@ def test_sums_over_neighbours(spark, sizes):
     assert {tuple(r) for r in top.collect()} == {tuple(r) for r in bm.top_items(found, 3).collect()}
 
 
+@pytest.mark.parametrize("ranges, dense", [(1 << 20, 1 << 18), (9, 0), (30, 1 << 18)])
+def test_recommended_by_ranges(spark, monkeypatch, ranges, dense):
+    monkeypatch.setattr(packed, "QUERY_ENTRIES", ranges)
+    monkeypatch.setattr(packed, "DENSE", dense)
+    monkeypatch.setattr(packed, "RANGE_COPIES", 10_000)
+    vectors = _vectors()
+    rows = _frame(spark, vectors).unionByName(spark.createDataFrame([(-20, None, 1.5), (-17, None, 2.0), (999, None, 1.0)], "user_id long, item_id long, value double"))
+    some = rows.filter("user_id % 4 <> 0").select("user_id").distinct()
+    near = bm.exact_neighbours(rows, some, 4)
+    want = {n: {tuple(r) for r in packed.with_neighbours(None, rows, near, 0.7, 1 - 0.7, n).collect()} for n in (3, 50)}
+    for n, expected in want.items():
+        assert {tuple(r) for r in packed.recommended(rows, some, 4, 0.7, 1 - 0.7, n).collect()} == expected
+    empty = rows.filter("user_id > 10000")
+    assert packed.recommended(empty, empty, 4, 0.7, 1 - 0.7, 3).collect() == []
+
+
+@pytest.mark.parametrize("name, value", [("RANGE_ENTRIES", 40), ("RANGE_COPIES", 0.1)])
+def test_ranges_that_share_too_much(spark, monkeypatch, name, value):
+    monkeypatch.setattr(packed, "QUERY_ENTRIES", 20)
+    monkeypatch.setattr(packed, "RANGE_COPIES", 10_000)
+    monkeypatch.setattr(packed, name, value)
+    rows = _frame(spark, _vectors())
+    assert packed.recommended(rows, rows, 4, 0.7, 1 - 0.7, 3) is None
+
+
+@pytest.mark.parametrize("name", ["metrics_ndcg_all", "metrics_ndcg_full_all", "metrics_prf_all", "metrics_summary_20_all"])
+def test_metrics_write_no_neighbours(spark, monkeypatch, name):
+    monkeypatch.setattr(bm, "exact_neighbours", None)
+    assert rows(QUERIES[name](spark, SF)) == duck_rows(SQL[name], SF)
+
+
 @pytest.mark.parametrize("name", ["ib_forget_users", "tifu_add_baskets", "tifu_changed_users_all"])
 def test_updates_that_reach_many(spark, monkeypatch, name):
     monkeypatch.setattr(incremental, "FEW", 0)
