@@ -53,6 +53,12 @@ class Pieces:
         #: Which pieces begin with a marker, and which are nothing but markers.
         self.opens = np.array([p.startswith(MARK) for p in pieces])
         self.blank = np.array([not p.strip(MARK) for p in pieces])
+        #: Pieces that are not decoded to their own characters.
+        self.special = np.array([self.model.is_unknown(i) or self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unused(i) for i in range(len(pieces))])
+        #: Each id in decimal digits and a comma, and how many bytes that is.
+        said = [f"{i},".encode() for i in range(len(pieces))]
+        self.width = np.array([len(x) for x in said])
+        self.digits = np.frombuffer(b"".join(x.ljust(self.width.max()) for x in said), np.uint8).reshape(len(said), -1)
 
     def segment_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, each after the one space that stands for its marker, and how many each has."""
@@ -92,6 +98,32 @@ class Pieces:
         texts = self.model.decode([[*before, *ids[c]] for c in chunks]) if chunks else []
         return {c: (ids[c], text[1:]) for c, text in zip(chunks, texts, strict=True)}
 
+    def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """The same in arrays, of chunks that end in a word: their ids one after another, how many each has, and what those
+        are decoded to, by their places, that are not decoded to themselves.
+        """
+        none, before = np.zeros(0, np.int32), self.model.encode("x")
+        flat, sizes, new = [none], [none], {}
+        for start in range(0, len(chunks), 512):
+            part = chunks[start : start + 512]
+            ids = self.model.encode("".join(part)[1:])
+            at = np.array(ids, np.int32)
+            edge = np.flatnonzero(self.opens[at[1:]] & ~self.blank[at[:-1]]) + 1
+            if len(edge) != len(part) - 1:
+                raise ValueError("the library's pieces don't fall apart into chunks")
+            size = np.diff(edge, prepend=0, append=len(at))
+            odd = np.add.reduceat(self.special[at].astype(np.int32), np.append(0, edge)) > 0
+            # Without special pieces only a chunk's first ones have markers, so if all together are themselves, each is.
+            plain = [*before, *at[~np.repeat(odd, size)].tolist()]
+            if self.model.decode(plain) != "x" + "".join(c for c, x in zip(part, odd.tolist(), strict=True) if not x):
+                odd[:] = True
+            apart, ends = np.flatnonzero(odd).tolist(), np.cumsum(size).tolist()
+            texts = self.model.decode([[*before, *ids[ends[i] - int(size[i]) : ends[i]]] for i in apart]) if apart else []
+            new |= {start + i: text[1:] for i, text in zip(apart, texts, strict=True) if text[1:] != part[i]}
+            flat.append(at)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes).astype(np.int64), new
+
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """The text of each list of ids, as the library's ``decode(ids)``."""
         return [self._decode(x) for x in ids]
@@ -105,7 +137,12 @@ _CHUNK = re.compile(" *[^ ]+| +")
 
 def _chunks(text: str) -> list[str]:
     """Chunks of the normal form, with spaces for markers. The empty text has none."""
-    return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
+    if not text:
+        return []
+    text = " " + text.replace(MARK, " ")
+    if "  " in text or "\0" in text or text[-1] == " ":
+        return _CHUNK.findall(text)
+    return (" " + text[1:].replace(" ", "\0 ")).split("\0")
 
 
 @lru_cache(maxsize=2)
@@ -168,57 +205,92 @@ def _joined(docs: DataFrame, model_file: str | None, wanted: list[str]) -> DataF
                 released()
 
     def reply(asked: pa.Table) -> pa.Table:
-        press, opened = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        pieces, table = loaded(model_file), {}
+        press, opened, pieces = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), loaded(model_file)
+        each = [_chunks(opened.decompress(packed).decode()[1:]) for packed in asked["chunks"].to_pylist()]
+        number = {c: at for at, c in enumerate(dict.fromkeys(chain.from_iterable(each)))}
+        flat, size, new = pieces.table(list(number))
+        first, unlike = np.cumsum(size) - size, np.zeros(len(size), bool)
+        unlike[list(new)] = True
         sizes, ids, other = [], [], []
-        for packed in asked["chunks"].to_pylist():
-            chunks = _CHUNK.findall(opened.decompress(packed).decode())
-            table |= pieces.read([c for c in chunks if c not in table])
-            said = [table[c] for c in chunks]
-            sizes.append(press.compress(np.array([len(x) for x, _ in said], np.int32).tobytes()))
-            ids.append(press.compress(np.fromiter(chain.from_iterable(x for x, _ in said), pieces.kept_as).tobytes()))
-            other.append([{"at": at, "text": text} for at, (_, text) in enumerate(said) if text != chunks[at]])
+        for chunks in each:
+            at = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+            sizes.append(press.compress(size[at].astype(np.int32).tobytes()))
+            ids.append(press.compress(flat[_runs(first[at], size[at])].astype(pieces.kept_as).tobytes()))
+            other.append([{"at": i, "text": new[int(at[i])]} for i in np.flatnonzero(unlike[at]).tolist()])
         columns = [asked["block"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary()), pa.array(other, pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))]
         return pa.table(columns, names=["block", "bucket", "sizes", "ids", "other"])
 
     def meet(left: pa.Table, said: pa.Table) -> pa.Table:
-        texts = [(blob_rows["doc_id"], [_chunks(x or "") for x in blob_rows["text"].to_pylist()]) for blob_rows in (B.unpack(x.as_buffer()) for x in left["blob"])]
+        rows = pa.concat_tables([B.unpack(x.as_buffer()).select(["doc_id", "text"]) for x in left["blob"]])
+        texts = [x or "" for x in rows["text"].to_pylist()]
+        each = [_chunks(x) for x in texts]
         opened, pieces = zstandard.ZstdDecompressor(), loaded(model_file)
-        dealt = _dealt((chunks for _, each in texts for chunks in each), buckets)
-        table: dict[str, tuple[Sequence[int], str]] = {}
-        for bucket, sizes, ids, other in zip(*(said[c].to_pylist() for c in ("bucket", "sizes", "ids", "other")), strict=True):
-            ids = np.frombuffer(opened.decompress(ids), pieces.kept_as).tolist()
-            ends = np.cumsum(np.frombuffer(opened.decompress(sizes), np.int32)).tolist()
-            chunks, new = dealt[bucket], {x["at"]: x["text"] for x in other}
-            table |= {c: (ids[lo:hi], new.get(at, c)) for at, (c, lo, hi) in enumerate(zip(chunks, [0, *ends[:-1]], ends, strict=True))}
-        table |= pieces.read({chunks[-1] for _, each in texts for chunks in each if chunks and chunks[-1][-1] == " "})
-        out: dict[str, list] = {c: [] for c in wanted}
-        # Each distinct chunk's part of what is wanted is made once, and joined by position.
-        ids_of, text_of = {c: x for c, (x, _) in table.items()}, {c: x for c, (_, x) in table.items()}
-        size_of = {c: len(x) for c, x in ids_of.items()}
-        said_of = {c: ",".join(map(str, x)) for c, x in ids_of.items()} if "ids_sha256" in wanted else {}
-        for _, each in texts:
-            for chunks in each:
-                for name in wanted:
-                    if name == "ids":
-                        value = list(chain.from_iterable(map(ids_of.__getitem__, chunks)))
-                    elif name == "n_tokens":
-                        value = sum(map(size_of.__getitem__, chunks))
-                    elif name == "ids_sha256":
-                        value = hashlib.sha256(",".join(map(said_of.__getitem__, chunks)).encode()).hexdigest()
-                    else:  # the first marker is the library's own
-                        value = hashlib.sha256("".join(map(text_of.__getitem__, chunks))[1:].encode()).hexdigest()
-                    out[name].append(value)
+        dealt = _dealt(each, buckets)
+        # Each distinct chunk has a number; its ids are a run of ``flat``.
+        chunks: list[str] = []
+        sizes, flat, new = [], [], {}
+        for bucket, packed, ids, other in zip(*(said[c].to_pylist() for c in ("bucket", "sizes", "ids", "other")), strict=True):
+            new |= {dealt[bucket][x["at"]]: x["text"] for x in other}
+            chunks += dealt[bucket]
+            sizes.append(np.frombuffer(opened.decompress(packed), np.int32))
+            flat.append(np.frombuffer(opened.decompress(ids), pieces.kept_as))
+        last = pieces.read({x[-1] for x in each if x and x[-1][-1] == " "})
+        new |= {c: text for c, (_, text) in last.items() if text != c}
+        chunks += last
+        sizes.append(np.array([len(x) for x, _ in last.values()], np.int32))
+        flat.append(np.fromiter(chain.from_iterable(x for x, _ in last.values()), pieces.kept_as))
+        size, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
+        number = {c: at for at, c in enumerate(chunks)}
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        token = np.fromiter(map(number.__getitem__, chain.from_iterable(each)), np.int64, int(n.sum()))
+        many = size[token]
+        past = np.append(0, np.cumsum(many))
+        stream = flat[_runs((np.cumsum(size) - size)[token], many)]
+        edge = past[np.append(0, np.cumsum(n))]
+        out = [rows["doc_id"].combine_chunks().cast(pa.int64())]
+        for name in wanted:
+            if name == "ids":
+                out.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(stream.astype(np.int32))))
+            elif name == "n_tokens":
+                out.append(pa.array(np.diff(edge), pa.int64()))
+            elif name == "ids_sha256":
+                out.append(pa.array(_digests(pieces, stream, edge), pa.string()))
+            else:
+                out.append(pa.array([hashlib.sha256(_decoded(x, its, new).encode()).hexdigest() for x, its in zip(texts, each, strict=True)], pa.string()))
         released()
-        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        ids = pa.chunked_array([c for x, _ in texts for c in x.chunks], pa.int64())
-        return pa.table([ids, *(pa.array(v, kinds.get(c, pa.string())) for c, v in out.items())], names=["doc_id", *wanted])
+        return pa.table(out, names=["doc_id", *wanted])
 
     answers = blocks.mapInArrow(ask, ASKED).groupBy("bucket", "part").applyInArrow(reply, ANSWERED)
     schema = ", ".join(["doc_id long", *(f"{c} {_KINDS[c]}" for c in wanted)])
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 
 
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... so many times, one run after another."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _digests(pieces: Pieces, stream: np.ndarray, edge: np.ndarray) -> list[str]:
+    """sha256 of the decimal ids, joined by commas, of texts whose ids are runs of a stream."""
+    out, low = [], 0
+    while low < len(edge) - 1:
+        high = max(low + 1, int(np.searchsorted(edge, edge[low] + (1 << 18), "right")) - 1)
+        ids = stream[edge[low] : edge[high]].astype(np.int64)
+        width = pieces.width[ids]
+        data = pieces.digits[ids][np.arange(pieces.digits.shape[1]) < width[:, None]].tobytes()
+        at = np.append(0, np.cumsum(width))[edge[low : high + 1] - edge[low]].tolist()
+        out += [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+        low = high
+    return out
+
+
+def _decoded(text: str, chunks: list[str], new: dict[str, str]) -> str:
+    """What a text's ids are decoded to, given the chunks that are decoded to anything but themselves."""
+    if not chunks or not new or new.keys().isdisjoint(chunks):
+        return text.replace(MARK, " ")
+    return "".join(new.get(c, c) for c in chunks)[1:]  # the first marker is the library's own
+
+
 def _dealt(texts: Iterable[list[str]], buckets: int) -> dict[int, list[str]]:
     """Distinct chunks of texts, but for markers at their ends, by bucket; in order, in which they and their ids pack well."""
     out: dict[int, list[str]] = {}

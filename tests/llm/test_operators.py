@@ -1,6 +1,7 @@
 """The operators on a small table with every odd case, against brute force."""
 
 import datetime
+import hashlib
 import math
 import random
 from collections import Counter
@@ -132,6 +133,24 @@ def test_pieces(spark, rows, docs, empty):
     assert pieces.decode(spark.createDataFrame([(1, None), (2, [None])], "doc_id long, ids array<int>")).filter("text = ''").count() == 2
 
 
+def test_chunks_in_arrays(monkeypatch):
+    held, made = pieces.loaded(public_tokenizers.path(pieces.MODEL)), random.Random(4)
+    texts = ["".join(made.choice("ab \n\t\xe9\u2581\u2047\u6f22\0\u00a0\ufb01\u2460\U0001f600z9,<s>") for _ in range(made.randint(0, 30))) for _ in range(2000)]
+    assert [pieces._chunks(x) for x in texts] == [pieces._CHUNK.findall(" " + x.replace(pieces.MARK, " ")) if x else [] for x in texts]
+    chunks = sorted({c for x in texts for c in pieces._chunks(x) if c[-1] != " "})
+    want = held.read(chunks)
+    monkeypatch.setattr(held, "_segment", None)  # no table of a tuple for each chunk
+    flat, sizes, new = held.table(chunks)
+    ends = sizes.cumsum().tolist()
+    assert {c: (tuple(flat[e - n : e].tolist()), new.get(i, c)) for i, (c, n, e) in enumerate(zip(chunks, sizes.tolist(), ends, strict=True))} == want
+    assert len(held.table([])[0]) == 0
+    ids = [[], [5], [31999, 0, 7] * 9, []]
+    edge = [0, *np.cumsum([len(x) for x in ids]).tolist()]
+    got = pieces._digests(held, np.array([i for x in ids for i in x]), np.array(edge))
+    assert got == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+    assert pieces._decoded("a\u2581b c", [" a", " b", " c"], {" c": " d"}) == "a b d"
+
+
 def test_pieces_of_random_texts(spark):
     model, made = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL)), random.Random(2)
     signs = " ▁ab\n\té 　\U0001f600\x00A<s>\ufffd\u200b"
