@@ -28,7 +28,7 @@ BATCH = 256
 MOST = 60.0
 SHAPES = {"e": (CONTEXTS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "b": (CONTEXT,), "w": (WIDTH, CLASSES)}
 _AHEAD = np.triu(np.ones((CONTEXT, CONTEXT), bool), 1)
-_BEHIND = (~_AHEAD).astype(np.float32)
+_ONES = np.ones(CONTEXT, np.float32)
 _AWAY = np.clip(np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :], 0, None)
 _SCALE = np.float32(WIDTH**-0.5)
 
@@ -120,9 +120,9 @@ class Vocabulary:
 
     def within(self, ids: np.ndarray, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log probability of each id within its class after the context."""
-        seen = self.prior[ids]
+        seen = np.take(self.prior, ids)
         if self.table is not None:
-            seen = seen + self.table[self.seen[ids], context]
+            seen = seen + np.take(self.table, np.take(self.seen, ids).astype(np.int64) * self.table.shape[1] + context)
         elif len(self.keys):
             wanted = context.astype(np.int64) * len(self.context) + ids
             at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
@@ -153,15 +153,13 @@ def attended(p: dict[str, np.ndarray], contexts: np.ndarray):
 
     ``Adam`` holds exponents where 32-bit floats can, so they are not held here.
     """
-    x = p["e"][contexts]
-    wide = x.reshape(-1, WIDTH)
-    q, k, v = ((wide @ p[n]).reshape(x.shape) for n in "qkv")
-    a = q @ (k * _SCALE).transpose(0, 2, 1)
-    a += p["b"][_AWAY]
+    of, shape = contexts.ravel(), (*contexts.shape, WIDTH)
+    q, k, v = (np.take(p["e"] @ m, of, 0).reshape(shape) for m in (p["q"] * _SCALE, p["k"], p["v"]))
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    a += np.where(_AHEAD, np.float32(-np.inf), p["b"][_AWAY])
     np.exp(a, out=a)
-    a *= _BEHIND
-    a /= a.sum(-1, keepdims=True)
-    return a @ v, (x, q, k, v, a)
+    a /= (a.reshape(-1, CONTEXT) @ _ONES).reshape(*contexts.shape, 1)
+    return a @ v, (q, k, v, a)
 
 
 def scored(p: dict[str, np.ndarray], z: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -172,7 +170,9 @@ def scored(p: dict[str, np.ndarray], z: np.ndarray, bias: np.ndarray) -> np.ndar
 
 def gradients(p: dict[str, np.ndarray], contexts: np.ndarray, bias: np.ndarray, classes: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Sums over real positions of the gradients of the negative log probability of classes, and of that itself."""
-    z, (x, q, k, v, a) = attended(p, contexts)
+    z, (q, k, v, a) = attended(p, contexts)
+    of = contexts.ravel()
+    x = np.take(p["e"], of, 0)
     states, counted = z.reshape(-1, WIDTH), real.ravel().astype(z.dtype)
     d = scored(p, states, bias)
     at, mine = np.arange(len(d)), classes.ravel()
@@ -184,18 +184,17 @@ def gradients(p: dict[str, np.ndarray], contexts: np.ndarray, bias: np.ndarray,
     d[at, mine] -= counted
     g = {"w": states.T @ d}
     dz = (d @ p["w"].T).reshape(z.shape)
-    da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    da -= np.einsum("bij,bij->bi", da, a)[..., None]
+    da = dz @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    da -= np.einsum("bid,bid->bi", dz, z)[..., None]  # the mean of a row's gradients, weighed by its attention
     da *= a
-    g["b"] = np.bincount(_AWAY[~_AHEAD], weights=da.sum(0)[~_AHEAD], minlength=CONTEXT)
-    dx = np.zeros_like(x).reshape(-1, WIDTH)
-    for n, dn in (("q", da @ (k * _SCALE)), ("k", da.transpose(0, 2, 1) @ (q * _SCALE)), ("v", dv)):
+    g["b"] = np.bincount(_AWAY[~_AHEAD], weights=(np.ones(len(da), da.dtype) @ da.reshape(len(da), -1)).reshape(CONTEXT, CONTEXT)[~_AHEAD], minlength=CONTEXT)
+    dx = np.zeros_like(x)
+    for n, dn in (("q", da @ k * _SCALE), ("k", da.transpose(0, 2, 1) @ q), ("v", a.transpose(0, 2, 1) @ dz)):  # the scale is in ``q``
         dn = dn.reshape(-1, WIDTH)
-        g[n] = x.reshape(-1, WIDTH).T @ dn
+        g[n] = x.T @ dn
         dx += dn @ p[n].T
-    of = contexts.ravel()
-    g["e"] = np.stack([np.bincount(of, weights=dx[:, j], minlength=CONTEXTS) for j in range(WIDTH)], 1)
+    dx = np.ascontiguousarray(dx.T)
+    g["e"] = np.stack([np.bincount(of, weights=dx[j], minlength=CONTEXTS) for j in range(WIDTH)], 1)
     return g, loss
 
 
@@ -206,7 +205,7 @@ def epoch(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, len
     at, stop, _ = _windows(lengths, CONTEXT)
     for low in range(0, len(at), batch):
         place, real = _places(at[low : low + batch], stop[low : low + batch])
-        g, more = gradients(p, context[place], vocabulary.follow[row[place].ravel()], classes[place], real)
+        g, more = gradients(p, np.take(context, place), np.take(vocabulary.follow, np.take(row, place.ravel()), 0), np.take(classes, place), real)
         out += flat(g)
         loss += more
     return np.concatenate([out, [loss, float(lengths.sum())]])
@@ -260,10 +259,10 @@ def log10_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: n
     ones = np.ones(CLASSES, np.float32)
     for low in range(0, len(at), batch):
         place, real = _places(at[low : low + batch], stop[low : low + batch])
-        z, _ = attended(p, context[place])
+        z, _ = attended(p, np.take(context, place))
         wanted = real & ((np.arange(CONTEXT) >= CONTEXT - STRIDE) | (number[low : low + batch, None] == 0))
         here = place[wanted]
-        scores = scored(p, z[wanted], vocabulary.follow[row[here]])
+        scores = scored(p, z[wanted], np.take(vocabulary.follow, np.take(row, here), 0))
         right = scores[np.arange(len(here)), classes[here]]
         np.exp(scores, out=scores)
         out[here] += right - np.log(scores @ ones)

@@ -43,9 +43,14 @@ class Words:
             begin, end = int(self.starts[lo]), int(self.ends[hi - 1])
             power, unpower = _powers(base, end - begin), _powers(inverse, end - begin)
             total = np.zeros(end - begin + 1, np.uint64)
-            np.cumsum(values[self.data[begin:end]] * power, out=total[1:])
+            found = np.take(values, self.data[begin:end])
+            found *= power
+            np.cumsum(found, out=total[1:])
             starts = self.starts[lo:hi] - begin
-            out[lo:hi] = mix((total[self.ends[lo:hi] - begin] - total[starts]) * unpower[starts])
+            sums = np.take(total, self.ends[lo:hi] - begin)
+            sums -= np.take(total, starts)
+            sums *= np.take(unpower, starts)
+            out[lo:hi] = mix(sums)
         return out
 
     def rows(self) -> np.ndarray:

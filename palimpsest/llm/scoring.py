@@ -1,5 +1,7 @@
 """LM scoring: a causal self-attention model on subword ids, and the counts that it is held against.
 
+Texts are read once, and their words hashed once.
+
 Words. Counts over the whole training part are exact: blocks of documents exchange their distinct words with buckets (see
 ``blocks``); they give the base score and nothing of the model's.
 
@@ -37,12 +39,12 @@ BLOCK_BYTES = 4 << 20
 SEGMENTS = 1 << 20
 ROUNDS, RATE = 16, 0.1
 BEGIN, END = 1, 2
-ASKED = "bucket long, block string, keys binary, more binary, counts binary"
 ANSWERED = "block string, bucket long, counts binary, known long, words long"
 BASE = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
-IDS = "payload binary, round int"
-#: The round of counts of ids, and that of texts that are not for training.
-COUNTS, HELD = -1, ROUNDS
+IDS = "payload binary, block string, bucket long, more binary, counts binary, round int"
+#: The round of counts of ids, that of texts that are not for training, those of blocks' texts as places of their distinct words
+#: and of what these ask the buckets.
+COUNTS, HELD, PLACES, ASKED = -1, ROUNDS, -2, -3
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -85,7 +87,7 @@ class _Read:
         per_token = sizes[of_token]
         # Where an id stands is its place in the stream, moved by as much as its token is.
         moved = first[of_token] - (np.cumsum(per_token) - per_token)
-        stream = flat[np.repeat(moved, per_token) + np.arange(int(per_token.sum()))]
+        stream = np.take(flat, np.repeat(moved, per_token) + np.arange(int(per_token.sum())))
         per_text = np.add.reduceat(per_token, np.cumsum(n + 1) - (n + 1)) if len(n) else np.zeros(0, np.int64)
         return stream, per_text
 
@@ -141,8 +143,10 @@ def score(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     model_file = model_file or public_tokenizers.path(MODEL)
     rows, row = numbered(docs.select("doc_id", "text"))
     rows = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = durable(_base(rows))
-    ids = _segmented(rows, model_file)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = B.Blocks(rows, n_bytes, 0).buckets()
+    ids = _segmented(rows, model_file, buckets)
+    base = durable(_base(rows, ids))
     size = loaded(model_file).model.get_piece_size()
     vocabulary = rows.sparkSession.sparkContext.broadcast(_vocabulary(ids, size))  # its size is the vocabulary's, not the corpus's
     weights = _trained(ids, vocabulary)
@@ -155,32 +159,15 @@ def score(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 total = np.add.reduceat(by_id, np.cumsum(lengths) - lengths)  # no text is without an end
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(total, pa.float64())], ["row", "score"])
 
-    judged = durable(ids.filter(F.col("round") != COUNTS).select("payload").mapInArrow(judge, "row long, score double"))
+    judged = durable(ids.filter(F.col("round").between(0, HELD)).select("payload").mapInArrow(judge, "row long, score double"))
     vocabulary.unpersist()
     return base.join(judged, "row").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _base(rows: DataFrame) -> DataFrame:
+def _base(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """What counts of words say: BASE and ``train_tokens``."""
-    blocks = B.build(rows, BLOCK_BYTES)
-    buckets = blocks.buckets()
-
-    def ask(block: str, rows: pa.Table, _: None) -> pa.Table:
-        read = _Read.of(rows)
-        counts, bucket = read.counts(), read.keys % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
-        parts = [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table(
-            [
-                pa.array([int(bucket[at[0]]) for at in parts], pa.int64()),
-                pa.array([block] * len(parts), pa.string()),
-                pa.array([read.keys[at].tobytes() for at in parts], pa.binary()),
-                pa.array([read.more[at].tobytes() for at in parts], pa.binary()),
-                pa.array([counts[at].astype(np.int32).tobytes() for at in parts], pa.binary()),
-            ],
-            names=["bucket", "block", "keys", "more", "counts"],
-        )
+    blocks = B.Blocks(ids.filter(F.col("round") == PLACES).select("block", F.col("payload").alias("blob")), 0, 0)
+    asked = ids.filter(F.col("round") == ASKED).select("bucket", "block", F.col("payload").alias("keys"), "more", "counts")
 
     def reply(asked: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
@@ -195,7 +182,7 @@ def _base(rows: DataFrame) -> DataFrame:
         return pa.table([asked["block"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(said, pa.binary()), pa.array(known, pa.int64()), pa.array(words, pa.int64())], names=["block", "bucket", "counts", "known", "words"])
 
     none = blocks.df.selectExpr("block", "-1L AS bucket", "CAST('' AS binary) AS counts", "0L AS known", "0L AS words")
-    answers = durable(B.answer(B.ask(blocks, ask, ASKED), reply, ANSWERED).unionByName(none))
+    answers = durable(B.answer(asked, reply, ANSWERED).unionByName(none))
     for_training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
     n_texts = rows.filter(for_training).count()
     sums = answers.agg(F.sum("known").alias("known"), F.sum("words").alias("words")).first()
@@ -203,23 +190,18 @@ def _base(rows: DataFrame) -> DataFrame:
     floor = float(total + (sums.known or 0) + (n_texts > 0) + 1)
 
     def finish(block: str, rows: pa.Table, said: pa.Table) -> pa.Table:
-        read, press = _Read.of(rows), zstandard.ZstdDecompressor()
-        bucket = read.keys % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        counts = np.zeros(len(read.keys), np.int64)
-        got = {b: press.decompress(x) for b, x in zip(said["bucket"].to_pylist(), said["counts"].to_pylist(), strict=True) if b >= 0}
-        edges = np.searchsorted(bucket[order], np.array([*got, 0], np.uint64)) if got else []
-        for x, lo in zip(got.values(), edges, strict=False):
-            values = np.frombuffer(x, np.int64)
-            counts[order[lo : lo + len(values)]] = values
-        n = read.words.n
+        press, lists = zstandard.ZstdDecompressor(), rows["words"].combine_chunks()
+        # Distinct words are in the order of buckets.
+        got = {b: np.frombuffer(press.decompress(x), np.int64) for b, x in zip(said["bucket"].to_pylist(), said["counts"].to_pylist(), strict=True) if b >= 0}
+        counts = np.concatenate([np.zeros(0, np.int64), *(got[b] for b in sorted(got))])
+        n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         token = np.full(int(n.sum()) + len(n), len(counts), np.int64)
-        token[np.arange(int(n.sum())) + read.words.rows()] = read.inverse
+        token[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = lists.flatten().to_numpy()
         c = np.append(counts, n_texts)[token]
         text = np.repeat(np.arange(len(n)), n + 1)
         known, base = (np.bincount(text, weights=x, minlength=len(n)) for x in (c > 0, np.log10((c + 1) / floor)))
         return pa.table(
-            [rows["row"].combine_chunks(), rows["doc_id"].combine_chunks(), pa.array(~read.training), pa.array(n + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base, pa.float64())],
+            [rows["row"].combine_chunks(), rows["doc_id"].combine_chunks(), pa.array(rows["held_out"].to_pylist(), pa.bool_()), pa.array(n + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base, pa.float64())],
             names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"],
         )
 
@@ -227,8 +209,33 @@ def _base(rows: DataFrame) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
-def _segmented(rows: DataFrame, model_file: str) -> DataFrame:
-    """IDS, a folder for each round: packed texts as ids, and counts of the ids of training texts."""
+def _block(read: _Read, table: pa.Table, buckets: int) -> list[tuple]:
+    """IDS rows that the counts of words need of a block: its texts, and the distinct words that each bucket is asked about."""
+    block, counts, bucket = uuid.uuid4().hex, read.counts(), (read.keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(read.words.n)), pa.int32()), pa.array(np.take(place, read.inverse), pa.int32()))
+    texts = pa.table([table["row"].combine_chunks(), table["doc_id"].combine_chunks(), pa.array(~read.training), words], names=["row", "doc_id", "held_out", "words"])
+    out = [(B.pack(texts), block, None, None, None, PLACES)]
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[lo:hi]
+        out.append((read.keys[at].tobytes(), block, int(bucket[at[0]]), read.more[at].tobytes(), counts[at].astype(np.int32).tobytes(), ASKED))
+    return out
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of IDS."""
+    kinds = {"payload": pa.binary(), "block": pa.string(), "bucket": pa.int64(), "more": pa.binary(), "counts": pa.binary(), "round": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+
+def _segmented(rows: DataFrame, model_file: str, buckets: int) -> DataFrame:
+    """IDS, a folder for each round: packed texts as ids, and counts of the ids of training texts; what counts of words need.
+
+    Each text is read and its words are hashed here, and nowhere else.
+    """
     size = loaded(model_file).model.get_piece_size()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +251,14 @@ def _segmented(rows: DataFrame, model_file: str) -> DataFrame:
             deal = np.array([round_of(x) for x in table["doc_id"].to_pylist()], np.int64)
             deal[~read.training] = HELD
             numbers, first, kind = table["row"].to_numpy(), np.cumsum(lengths) - lengths, _kept_as(size)
-            out = []
+            out = _block(read, table, buckets)
             for r in np.unique(deal).tolist():
                 mine = np.flatnonzero(deal == r)
                 n = lengths[mine]
                 place = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                out.append(B.pack(pa.table([pa.array([numbers[mine].tobytes(), n.tobytes(), stream[place].astype(kind).tobytes()], pa.binary())], names=["x"])))
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(np.unique(deal), pa.int32())], ["payload", "round"])
+                texts = pa.table([pa.array([numbers[mine].tobytes(), n.tobytes(), np.take(stream, place).astype(kind).tobytes()], pa.binary())], names=["x"])
+                out.append((B.pack(texts), None, None, None, None, r))
+            return _rows(out)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -269,7 +277,7 @@ def _segmented(rows: DataFrame, model_file: str) -> DataFrame:
         if held:
             yield told()
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([COUNTS], pa.int32())], ["payload", "round"])
+            yield _rows([(counts.tobytes(), None, None, None, None, COUNTS)])
 
     path = f"{shared_folder(rows.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
     rows.mapInArrow(run, IDS).write.partitionBy("round").option("compression", "none").parquet(path)

@@ -99,7 +99,7 @@ def _candidates(rows: pa.Table, said: pa.Table, window: int, anchor: int, span:
 def distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of halves: an index of each distinct pair in order, each row's place among these, and their counts."""
     order = np.argsort(left)
-    a, b = left[order], right[order]
+    a, b = np.take(left, order), np.take(right, order)
     new = np.ones(len(order), bool)
     new[1:] = a[1:] != a[:-1]
     if (~new[1:] & (b[1:] != b[:-1])).any():  # equal left halves with different right ones, which hardly ever happens

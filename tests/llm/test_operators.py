@@ -133,6 +133,11 @@ def test_pieces(spark, rows, docs, empty):
     assert pieces.decode(spark.createDataFrame([(1, None), (2, [None])], "doc_id long, ids array<int>")).filter("text = ''").count() == 2
 
 
+def test_scoring_keeps_no_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(scoring.B, "build", None)  # blocks of texts, which every question would read and hash again
+    assert scoring.score(docs).count() == docs.count()
+
+
 def test_chunks_in_arrays(monkeypatch):
     held, made = pieces.loaded(public_tokenizers.path(pieces.MODEL)), random.Random(4)
     texts = ["".join(made.choice("ab \n\t\xe9\u2581\u2047\u6f22\0\u00a0\ufb01\u2460\U0001f600z9,<s>") for _ in range(made.randint(0, 30))) for _ in range(2000)]
