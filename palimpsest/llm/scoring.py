@@ -172,7 +172,8 @@ def _base(rows: DataFrame, ids: DataFrame) -> DataFrame:
     def reply(asked: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
         more = np.concatenate([np.frombuffer(x, np.uint32) for x in asked["more"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in asked["counts"].to_pylist()])
+        opened = zstandard.ZstdDecompressor()
+        counts = np.concatenate([np.frombuffer(opened.decompress(x), np.int32) for x in asked["counts"].to_pylist()])
         _, inverse, _ = distinct(np.concatenate(keys), more)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
         cuts, press = np.cumsum([0, *map(len, keys)]), zstandard.ZstdCompressor(level=1)
@@ -211,6 +212,7 @@ def _base(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _block(read: _Read, table: pa.Table, buckets: int) -> list[tuple]:
     """IDS rows that the counts of words need of a block: its texts, and the distinct words that each bucket is asked about."""
+    press = zstandard.ZstdCompressor(level=1)
     block, counts, bucket = uuid.uuid4().hex, read.counts(), (read.keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int32)
@@ -221,7 +223,7 @@ def _block(read: _Read, table: pa.Table, buckets: int) -> list[tuple]:
     cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         at = order[lo:hi]
-        out.append((read.keys[at].tobytes(), block, int(bucket[at[0]]), read.more[at].tobytes(), counts[at].astype(np.int32).tobytes(), ASKED))
+        out.append((read.keys[at].tobytes(), block, int(bucket[at[0]]), read.more[at].tobytes(), press.compress(counts[at].astype(np.int32).tobytes()), ASKED))
     return out
 
 
@@ -345,7 +347,9 @@ def _counted(rows: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
         for low in range(0, len(keys[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[0][low : low + (1 << 16)]), pa.array(counts[0][low : low + (1 << 16)])], ["key", "n"])
 
-    found = rows.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    # Few tasks, each with many payloads: a key is then told a few times, not once for each small file.
+    few = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return found["key"].to_numpy(), found["n"].to_numpy()
 
 
